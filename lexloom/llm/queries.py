@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontam, packing, quality, simhash, suffix_dedup, token_counts
+from lexloom.llm import decontam, ngram_lm, packing, quality, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +41,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_repeated_passages, op5_quality_repetition, op7_packing, op9_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_ngram_scores, op3_decontamination, op4_repeated_passages, op5_quality_repetition, op7_packing, op9_near_duplicates)}
 ORACLES: dict[str, str] = {}
