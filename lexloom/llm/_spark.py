@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (makes pa.compute there in a fresh worker)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
