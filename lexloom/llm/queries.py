@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontam, ngram_lm, packing, quality, simhash, suffix_dedup, token_counts
+from lexloom.llm import decontam, html_template, language_id, ngram_lm, packing, quality, simhash, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,25 @@ def op5_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_ngram_scores, op3_decontamination, op4_repeated_passages, op5_quality_repetition, op7_packing, op9_near_duplicates)}
-ORACLES: dict[str, str] = {}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_ngram_scores, op3_decontamination, op4_repeated_passages, op5_quality_repetition, op6_url_filter, op7_packing, op8_html_extraction, op9_near_duplicates, op10_language_id)}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.oracle()}
