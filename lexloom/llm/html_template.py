@@ -38,12 +38,12 @@ from lexloom.llm._spark import over_texts, written
 from lexloom.llm.url_filter import split
 
 SUPPORT, LEAST_CLASS, MOST_HELD, BROADCAST_BYTES = 0.5, 3, 200_000, 32_000_000
-TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^<>]*>|[^\s<>]+|[<>]", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^<>]*>|[^\s<>]+|[<>]", re.S | re.I)
 
 
 def tokens(text: str | None) -> list[str]:
     """Tags (with their attributes), comments, scripts as wholes, and words."""
-    return [m.group() for m in TOKEN.finditer(text)] if text else []
+    return TOKEN.findall(text) if text else []
 
 
 def plain(toks: list[str]) -> str:

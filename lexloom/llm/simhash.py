@@ -87,7 +87,7 @@ def blocks_for(n: int, bits: int, group: int = GROUP) -> int:
     return r
 
 
-def trie_join(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """All i < j (after sorting) of one group within ``budget`` differing bits.
 
     A trie node is a range of the sorted rows that agree on the bits so far.
