@@ -1,6 +1,383 @@
-"""Every query of the engine by name, with the SQL it is held against."""
+"""Every query of the engine by name, with the SQL it is held against.
+
+A query takes (spark, sf_dir) and runs over whole tables and whole texts.
+Where SQL can't say it (best paths, expected counts, random draws), there is
+none, and tests hold the operator against brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import columns, patterns
+from lexloom.functions.tokenizer import Token, Tokenizer
+from lexloom.operators import curate, evaluate, generate, mine, prune, vocabulary
+from lexloom.operators.encode import Shared, chunk_counts, decode, encode, pair_counts, split_specials, token_frequency
+from lexloom.plans import train
+from lexloom.sources import corpus
+
+TOP, SHARE, SIZE, TARGET, MIN_SCORE = 100, 0.25, 4000, 3000, -11.0
+SPLIT = "space-word"
+ALLOW = ["space-lowercase-word", "capitalized-word"]
+ADDED, SUGGESTED = ["ing ", "the ", "tion"], ["ent", "the "]
+SPECIALS = ["the ", "th", "\n\n"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("source", F.col("doc_id").alias("sample_id"), "text")
+
+
+def byte_tokenizer() -> Tokenizer:
+    """One token for each byte: every text has exactly one encoding."""
+    return Tokenizer([Token(bytes([i]), -8.0) for i in range(256)])
+
+
+def word_tokenizer(special_tokens: list[str] = []) -> Tokenizer:  # noqa: B006
+    """A small fixed vocabulary of common pieces over all bytes."""
+    pieces = "the he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce el la tion ing ent ion der die und la el que les des est para con pour".split()
+    words = [w for p in pieces for w in (p, " " + p)]
+    return Tokenizer([Token(bytes([i]), -9.0 - i / 512) for i in range(256)] + [Token(w.encode(), -6.0 - 0.01 * k) for k, w in enumerate(words)], ["crlf"], special_tokens)
+
+
+# sources and processors
+
+
+@query("SELECT source, count(*) AS samples, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(length(text))::BIGINT AS chars, round(sum(octet_length(encode(text))) / 1e6, 2) AS mb FROM documents GROUP BY source")
+def source_totals(spark, sf_dir):
+    return corpus.totals(_samples(spark, sf_dir))
+
+
+@query(f"SELECT source, doc_id AS sample_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY source) * {SHARE})")
+def prefix_sample(spark, sf_dir):
+    return corpus.prefix_sample(_samples(spark, sf_dir), SHARE)
+
+
+@query("SELECT conv_id, turn, replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)) AS text FROM conversations")
+def crlf(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select("conv_id", "turn", columns.crlf(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfc(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", columns.normal_form(F.col("text"), "nfc").alias("text"))
+
+
+def _normal(form: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _documents(spark, sf_dir).select("doc_id", columns.normal_form(F.col("text"), form).alias("text"))
+
+    QUERIES[form] = run
+
+
+for _form in ("nfd", "nfkc", "nfkd"):
+    _normal(_form)
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def processor_chain(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", columns.processors(["nfd", "crlf", "nfc"], F.col("text")).alias("text"))
+
+
+# patterns
+
+
+def _mined(name: str) -> None:
+    p = patterns.re2(name).replace("'", "''")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return mine.mine(_samples(spark, sf_dir), [name], TOP)
+
+    key = "mine_" + name.replace("-", "_")
+    QUERIES[key] = run
+    ORACLES[key] = f"SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS token FROM documents) WHERE token <> '' GROUP BY token ORDER BY freq DESC, encode(token) LIMIT {TOP}"
+
+
+for _name in patterns.NAMED:
+    _mined(_name)
+
+_PIECES = f"pieces AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{patterns.re2(SPLIT)}'))) AS piece FROM documents)"
+_FREQ = f"""{_PIECES}, starts AS (SELECT doc_id, piece, unnest(range(1, length(piece) + 1)) AS i FROM pieces),
+subs AS (SELECT DISTINCT doc_id, substring(piece, i, n) AS token FROM (SELECT doc_id, piece, i, unnest(range(1, least(24, length(piece) - i + 1) + 1)) AS n FROM starts)),
+freq AS (SELECT token, count(*) AS freq FROM subs WHERE regexp_matches(token, '{patterns.allow_re2(ALLOW)}') GROUP BY token)"""
+
+
+@query(f"WITH {_FREQ} SELECT token, freq FROM freq")
+def generate_frequencies(spark, sf_dir):
+    return generate.document_frequency(_samples(spark, sf_dir), p=1.0, split=SPLIT, allow=ALLOW)
+
+
+@query()
+def generate_sampled(spark, sf_dir):
+    return generate.document_frequency(_samples(spark, sf_dir), split=SPLIT, allow=ALLOW)
+
+
+@query()
+def generate_unsplit(spark, sf_dir):
+    return generate.document_frequency(_samples(spark, sf_dir), p=1.0, max_bytes=4)
+
+
+@query("WITH lists(token, seeds) AS (VALUES " + ", ".join(f"('{t}', {(t in ADDED) + (t in SUGGESTED)})" for t in sorted({*ADDED, *SUGGESTED})) + ") SELECT token, (seeds + (SELECT count(*) FROM documents WHERE contains(text, token)))::BIGINT AS freq FROM lists")
+def listed_frequencies(spark, sf_dir):
+    return generate.listed_frequency(_samples(spark, sf_dir), ADDED, SUGGESTED)
+
+
+_VOCAB = f"""{_FREQ}, many AS (SELECT hex(encode(token)) AS value_hex, freq * octet_length(encode(token)) AS weight, false AS keep FROM freq WHERE octet_length(encode(token)) > 1 ORDER BY freq DESC, encode(token) LIMIT {SIZE - 255}),
+weighted AS (SELECT printf('%02X', i) AS value_hex, (SELECT max(freq) FROM freq) AS weight, true AS keep FROM range(255) t(i) UNION ALL SELECT * FROM many),
+vocab AS (SELECT (row_number() OVER (ORDER BY weight DESC, value_hex) - 1)::INTEGER AS id, value_hex, ln(weight) - ln(sum(weight) OVER ()) AS score, keep FROM weighted)"""
+
+
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.seed_vocabulary(generate_frequencies(spark, sf_dir), SIZE)
+
+
+def _shown(vocab: DataFrame) -> DataFrame:
+    return vocab.select("id", F.hex("value").alias("value_hex"), F.round("score", 6).alias("score"), "keep")
+
+
+@query(f"WITH {_VOCAB} SELECT id, value_hex, round(score, 6) AS score, keep FROM vocab")
+def generate_vocabulary(spark, sf_dir):
+    return _shown(_vocab(spark, sf_dir))
+
+
+# vocabulary
+
+
+@query(
+    f"""WITH {_VOCAB}, ranked AS (SELECT *, score <= {MIN_SCORE} AND NOT keep AS free, count(*) OVER () - {TARGET} AS excess,
+row_number() OVER (ORDER BY CASE WHEN score <= {MIN_SCORE} AND NOT keep THEN 0 ELSE 1 END, id DESC) AS k FROM vocab)
+SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS id, value_hex, round(score, 6) AS score, keep FROM ranked WHERE NOT free OR k > excess"""
+)
+def filter_vocabulary(spark, sf_dir):
+    return _shown(vocabulary.filtered(_vocab(spark, sf_dir), TARGET, MIN_SCORE))
+
+
+_WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, ' ?[A-Za-z]+')) AS token FROM documents)"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine.idiom_counts(_samples(spark, sf_dir), ["space-word"]).select("token")
+
+
+@query(f"WITH {_VOCAB}, {_WORDS} SELECT token, id FROM words LEFT JOIN vocab ON value_hex = hex(encode(token))")
+def token_to_id(spark, sf_dir):
+    return vocabulary.token_ids(_words(spark, sf_dir), _vocab(spark, sf_dir))
+
+
+@query(f"WITH {_VOCAB} SELECT i::INTEGER AS id, CASE WHEN i < {SIZE} THEN value_hex ELSE hex(encode((['the ', 'th', chr(10) || chr(10)])[i - {SIZE} + 1])) END AS value_hex, CASE WHEN i < {SIZE} + 3 THEN i >= {SIZE} END AS is_special FROM range(0, {SIZE} + 10) r(i) LEFT JOIN vocab ON id = i ORDER BY 1")
+def id_to_token(spark, sf_dir):
+    specials = spark.createDataFrame(list(enumerate(SPECIALS)), "ordinal int, token string")
+    ids = spark.range(SIZE + 10).select(F.col("id").cast("int").alias("id"))
+    return vocabulary.id_tokens(ids, _vocab(spark, sf_dir), specials).select("id", F.hex("value").alias("value_hex"), "is_special")
+
+
+@query(f"WITH {_VOCAB} SELECT {SIZE + 3}::BIGINT AS vocab_size, count(*) AS base_vocab_size, 3::BIGINT AS special_vocab_size FROM vocab")
+def vocabulary_sizes(spark, sf_dir):
+    specials = spark.createDataFrame(list(enumerate(SPECIALS)), "ordinal int, token string")
+    return vocabulary.sizes(_vocab(spark, sf_dir), specials).select("vocab_size", "base_vocab_size", "special_vocab_size")
+
+
+@query(f"WITH {_VOCAB}, {_WORDS}, cut AS (SELECT token AS text, unnest(range(1, length(token) + 1)) AS n FROM words) SELECT text, id, n::INTEGER AS n_bytes FROM cut JOIN vocab ON value_hex = hex(encode(substring(text, 1, n)))")
+def prefix_search(spark, sf_dir):
+    return vocabulary.prefix_search(_words(spark, sf_dir), _vocab(spark, sf_dir), "token")
+
+
+# encoding
+
+
+@query("SELECT doc_id, text FROM documents")
+def encode_round_trip(spark, sf_dir):
+    tok = word_tokenizer(SPECIALS)
+    ids = _documents(spark, sf_dir).select("doc_id", encode(spark, tok, F.col("text")).alias("ids"))
+    return ids.select("doc_id", decode(spark, tok, F.col("ids")).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def encode_dropout_round_trip(spark, sf_dir):
+    tok = word_tokenizer()
+    ids = _documents(spark, sf_dir).select("doc_id", encode(spark, tok, F.col("text"), dropout=0.2).alias("ids"))
+    return ids.select("doc_id", decode(spark, tok, F.col("ids")).alias("text"))
+
+
+@query()
+def encode_documents(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", encode(spark, word_tokenizer(), F.col("text")).alias("ids"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, 'the |th|' || chr(10) || chr(10)))::BIGINT AS n_special, length(regexp_replace(text, 'the |th|' || chr(10) || chr(10), '', 'g'))::BIGINT AS ordinary_chars FROM documents")
+def special_split(spark, sf_dir):
+    pieces = split_specials(spark, word_tokenizer(SPECIALS), F.col("text"))
+    cut = _documents(spark, sf_dir).select("doc_id", F.explode_outer(pieces).alias("p"))
+    return cut.groupBy("doc_id").agg(F.count_if("p.is_special").alias("n_special"), F.coalesce(F.sum(F.when(~F.col("p.is_special"), F.length("p.text").cast("long"))), F.lit(0)).alias("ordinary_chars"))
+
+
+_BYTES = "raw AS (SELECT doc_id, source, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)"
+
+
+@query(f"WITH {_BYTES}, each AS (SELECT substring(h, 2 * i + 1, 2) AS b FROM (SELECT h, unnest(range(n)) AS i FROM raw)) SELECT ('0x' || b)::INTEGER AS id, count(*) AS freq FROM each GROUP BY 1")
+def token_frequency_bytes(spark, sf_dir):
+    return token_frequency(_samples(spark, sf_dir), byte_tokenizer())
+
+
+@query(f"WITH {_BYTES}, each AS (SELECT substring(h, 2 * i + 1, 4) AS b FROM (SELECT h, unnest(range(n - 1)) AS i FROM raw)) SELECT ('0x' || b[:2])::INTEGER AS a, ('0x' || b[3:])::INTEGER AS b, count(*) AS freq FROM each GROUP BY ALL")
+def pair_counts_bytes(spark, sf_dir):
+    docs = _samples(spark, sf_dir)
+    return pair_counts(docs.select(encode(spark, byte_tokenizer(), F.col("text")).alias("ids")))
+
+
+@query()
+def token_frequencies(spark, sf_dir):
+    return token_frequency(_samples(spark, sf_dir), word_tokenizer())
+
+
+@query("SELECT sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents")
+def chunk_mass(spark, sf_dir):
+    samples = _samples(spark, sf_dir)
+    return chunk_counts(samples, Shared(spark, word_tokenizer())).agg(F.sum(F.octet_length("chunk") * F.col("n")).alias("bytes"))
+
+
+# training
+
+
+@query("SELECT round(sum(octet_length(encode(text)))::DOUBLE, 2) AS bytes FROM documents")
+def expected_mass(spark, sf_dir):
+    tok = word_tokenizer()
+    found = prune.expected_counts(_samples(spark, sf_dir), tok)
+    return found.join(corpus.vocab_frame(spark, tok.vocab), "id").agg(F.round(F.sum(F.col("expected") * F.octet_length("value")), 2).alias("bytes"))
+
+
+@query()
+def expected_counts(spark, sf_dir):
+    return prune.expected_counts(_samples(spark, sf_dir), word_tokenizer())
+
+
+_DIGAMMA = "(ln(x + k - 0.5) + 1 / (24 * (x + k - 0.5) ** 2) - 7 / (960 * (x + k - 0.5) ** 4) + 31 / (8064 * (x + k - 0.5) ** 6) - 127 / (30720 * (x + k - 0.5) ** 8) - coalesce(list_sum([1 / (x + i) for i in range(k)]), 0))"
+
+
+@query(
+    f"""WITH {_VOCAB}, counts AS (SELECT id, value_hex, keep, coalesce(freq, 0) / 3.0 AS f FROM vocab LEFT JOIN freq ON hex(encode(token)) = value_hex),
+stay AS (SELECT id, value_hex, keep, greatest(f, 0.5)::DOUBLE AS x FROM counts WHERE f >= 0.5 OR keep),
+total AS (SELECT sum(x) AS x FROM stay), both AS (SELECT id, value_hex, keep, x FROM stay UNION ALL SELECT -1, '', false, x FROM total),
+d AS (SELECT id, value_hex, keep, {_DIGAMMA} AS y FROM (SELECT *, greatest(0, ceil(7 - x))::INTEGER AS k FROM both))
+SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS id, value_hex, round(y - (SELECT y FROM d WHERE id = -1), 6) AS score, keep FROM d WHERE id >= 0"""
+)
+def m_step(spark, sf_dir):
+    freq = generate_frequencies(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir)
+    thirds = freq.select(F.col("token").cast("binary").alias("value"), (F.col("freq") / 3).alias("expected"))
+    return _shown(prune.reestimated(vocab, vocab.join(thirds, "value").select("id", "expected")))
+
+
+@query()
+def prune_losses(spark, sf_dir):
+    samples, tok = _samples(spark, sf_dir), word_tokenizer()
+    vocab = corpus.vocab_frame(spark, tok.vocab)
+    return prune.losses(vocab, prune.alternatives(vocab, tok), token_frequency(samples, tok), samples.count()).select("id", "rule", F.round("loss", 9).alias("loss"))
+
+
+def _tokens(spark: SparkSession, tok: Tokenizer) -> DataFrame:
+    return _shown(corpus.vocab_frame(spark, tok.vocab))
+
+
+@query()
+def prune_vocabulary(spark, sf_dir):
+    return _tokens(spark, train.prune(_samples(spark, sf_dir), word_tokenizer(), 320, dropout=0.0))
+
+
+@query()
+def merge_vocabulary(spark, sf_dir):
+    return _tokens(spark, train.merge(_samples(spark, sf_dir), word_tokenizer(), ["space-lowercase-word"], merges=30, step=15))
+
+
+# reports
+
+
+@query("SELECT source, sum(octet_length(encode(text)))::BIGINT AS num_tokens, sum(length(text))::BIGINT AS num_chars, round(sum(length(text)) / sum(octet_length(encode(text))), 2) AS chars_per_token FROM documents GROUP BY source")
+def compression_bytes(spark, sf_dir):
+    return evaluate.compression(_samples(spark, sf_dir).withColumn("ids", encode(spark, byte_tokenizer(), F.col("text"))))
+
+
+@query()
+def compression(spark, sf_dir):
+    return evaluate.compression(_samples(spark, sf_dir).withColumn("ids", encode(spark, word_tokenizer(), F.col("text"))))
+
+
+@query(
+    """WITH s AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS num_tokens, sum(length(text))::BIGINT AS num_chars FROM documents GROUP BY source)
+SELECT 'source' AS kind, source AS name, num_tokens, num_chars, round(num_chars / num_tokens, 2) AS chars_per_token FROM s
+UNION ALL SELECT 'average', 'all', sum(num_tokens)::BIGINT, sum(num_chars)::BIGINT, round(sum(num_chars) / sum(num_tokens), 2) FROM s"""
+)
+def compression_report(spark, sf_dir):
+    return evaluate.compression_report(compression_bytes(spark, sf_dir), {"none": ["no such source"]})
+
+
+@query(
+    f"""WITH {_FREQ}, ranked AS (SELECT freq, row_number() OVER (ORDER BY freq DESC, encode(token)) - 1 AS rn FROM freq),
+b AS (SELECT (rn // ({SIZE} // 50))::INTEGER AS bucket, sum(freq)::BIGINT AS frequency FROM ranked GROUP BY 1)
+SELECT i::INTEGER AS bucket, coalesce(frequency, 0)::BIGINT AS frequency FROM range(50) r(i) LEFT JOIN b ON bucket = i"""
+)
+def frequency_buckets(spark, sf_dir):
+    return evaluate.frequency_buckets(generate_frequencies(spark, sf_dir).withColumnRenamed("token", "id"), SIZE)
+
+
+@query(
+    """WITH c AS (SELECT source, (length(text) - length(replace(text, 'the', ''))) // 3 AS k FROM documents)
+SELECT source, grouping(source)::TINYINT AS is_total, sum(k)::BIGINT AS occurrences, count(*) FILTER (k > 0) AS samples_hit, round(100.0 * count(*) FILTER (k > 0) / count(*), 2) AS percent
+FROM c GROUP BY ROLLUP (source) HAVING sum(k) > 0 OR grouping(source) = 1"""
+)
+def find(spark, sf_dir):
+    return evaluate.find(_samples(spark, sf_dir), "the")
+
+
+# curation
+
+_MEASURED = """m AS (SELECT doc_id, source, lang, text, octet_length(encode(text)) AS n_bytes, length(text) AS n, len(string_split(text, chr(10))) AS lines, list_max([length(l) for l in string_split(text, chr(10))]) AS longest,
+[length(x) for x in regexp_extract_all(text, '[A-Za-z0-9+/=\\n]{64,}')] AS e1, [length(x) for x in regexp_extract_all(text, '(?:\\b(?:0x|\\\\x)?[A-Fa-f0-9]{2}(?:,|\\b\\s*)){8,}')] AS e2, [length(x) for x in regexp_extract_all(text, '(?:\\\\u[A-Fa-f0-9]{4}){8,}')] AS e3,
+1 - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) / length(text) AS alnum, 1 - length(regexp_replace(text, '[0-9]', '', 'g')) / length(text) AS digits, 1 - length(regexp_replace(text, '[^\\x00-\\x7f\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}]', '', 'g')) / length(text) AS other FROM documents),
+j AS (SELECT *, CASE WHEN n_bytes < 16 OR n_bytes > 262144 THEN 'size' WHEN lang IN ('json', 'yaml', 'toml', 'sql', 'r', 'hcl') AND lines - 1 > 256 THEN 'lines'
+WHEN (n - lines + 1) / lines > 100 OR (n - lines + 1) / lines < 10 OR longest > 1000 THEN 'line length' WHEN alnum < 0.25 THEN 'alphanumeric' WHEN digits > 0.3 THEN 'digits'
+WHEN coalesce(list_max(e1), 0) > 256 OR coalesce(list_max(e2), 0) > 256 OR coalesce(list_max(e3), 0) > 256 OR coalesce(list_sum(e1), 0) / n > 0.5 OR coalesce(list_sum(e2), 0) / n > 0.5 OR coalesce(list_sum(e3), 0) / n > 0.5 THEN 'encoded'
+WHEN other > 0.2 THEN 'script' END AS reason FROM m)"""
+
+
+@query(f"WITH {_MEASURED} SELECT doc_id, reason FROM j")
+def quality_reasons(spark, sf_dir):
+    return curate.judged(_documents(spark, sf_dir)).select("doc_id", "reason")
+
+
+@query(f"WITH {_MEASURED} SELECT doc_id, source, text FROM j WHERE reason IS NULL")
+def quality_filtered(spark, sf_dir):
+    return curate.quality_filtered(_documents(spark, sf_dir)).select("doc_id", "source", "text")
+
+
+@query(
+    """WITH b AS (SELECT source, doc_id AS sample_id, coalesce(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, sample_id, CASE WHEN before < 20000 THEN 'test' ELSE 'train' END AS split FROM b WHERE before < 100000"""
+)
+def quota_split(spark, sf_dir):
+    return curate.quota_split(_samples(spark, sf_dir), 20_000, 80_000).select("source", "sample_id", "split")
+
+
+@query()
+def infilling(spark, sf_dir):
+    return curate.infilling(_samples(spark, sf_dir))
