@@ -56,7 +56,7 @@ def word_tokenizer(special_tokens: list[str] = []) -> Tokenizer:  # noqa: B006
     """A small fixed vocabulary of common pieces over all bytes."""
     pieces = "the he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce el la tion ing ent ion der die und la el que les des est para con pour".split()
     words = [w for p in pieces for w in (p, " " + p)]
-    return Tokenizer([Token(bytes([i]), -9.0 - i / 512) for i in range(256)] + [Token(w.encode(), -6.0 - 0.01 * k) for k, w in enumerate(words)], ["crlf"], special_tokens)
+    return Tokenizer([Token(bytes([i]), -9.0 - i / 512, True) for i in range(256)] + [Token(w.encode(), -6.0 - 0.01 * k) for k, w in enumerate(words)], ["crlf"], special_tokens)
 
 
 # sources and processors
@@ -231,15 +231,15 @@ def special_split(spark, sf_dir):
     return cut.groupBy("doc_id").agg(F.count_if("p.is_special").alias("n_special"), F.coalesce(F.sum(F.when(~F.col("p.is_special"), F.length("p.text").cast("long"))), F.lit(0)).alias("ordinary_chars"))
 
 
-_BYTES = "raw AS (SELECT doc_id, source, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)"
+_BYTES = "raw AS (SELECT regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)"
 
 
-@query(f"WITH {_BYTES}, each AS (SELECT substring(h, 2 * i + 1, 2) AS b FROM (SELECT h, unnest(range(n)) AS i FROM raw)) SELECT ('0x' || b)::INTEGER AS id, count(*) AS freq FROM each GROUP BY 1")
+@query(f"WITH {_BYTES}, each AS (SELECT unnest(h) AS b FROM raw) SELECT ('0x' || b)::INTEGER AS id, count(*) AS freq FROM each GROUP BY 1")
 def token_frequency_bytes(spark, sf_dir):
     return token_frequency(_samples(spark, sf_dir), byte_tokenizer())
 
 
-@query(f"WITH {_BYTES}, each AS (SELECT substring(h, 2 * i + 1, 4) AS b FROM (SELECT h, unnest(range(n - 1)) AS i FROM raw)) SELECT ('0x' || b[:2])::INTEGER AS a, ('0x' || b[3:])::INTEGER AS b, count(*) AS freq FROM each GROUP BY ALL")
+@query(f"WITH {_BYTES}, each AS (SELECT unnest(h[:-2]) AS a, unnest(h[2:]) AS b FROM raw WHERE len(h) > 1) SELECT ('0x' || a)::INTEGER AS a, ('0x' || b)::INTEGER AS b, count(*) AS freq FROM each GROUP BY ALL")
 def pair_counts_bytes(spark, sf_dir):
     docs = _samples(spark, sf_dir)
     return pair_counts(docs.select(encode(spark, byte_tokenizer(), F.col("text")).alias("ids")))
@@ -277,8 +277,8 @@ _DIGAMMA = "(ln(x + k - 0.5) + 1 / (24 * (x + k - 0.5) ** 2) - 7 / (960 * (x + k
 @query(
     f"""WITH {_VOCAB}, counts AS (SELECT id, value_hex, keep, coalesce(freq, 0) / 3.0 AS f FROM vocab LEFT JOIN freq ON hex(encode(token)) = value_hex),
 stay AS (SELECT id, value_hex, keep, greatest(f, 0.5)::DOUBLE AS x FROM counts WHERE f >= 0.5 OR keep),
-total AS (SELECT sum(x) AS x FROM stay), both AS (SELECT id, value_hex, keep, x FROM stay UNION ALL SELECT -1, '', false, x FROM total),
-d AS (SELECT id, value_hex, keep, {_DIGAMMA} AS y FROM (SELECT *, greatest(0, ceil(7 - x))::INTEGER AS k FROM both))
+total AS (SELECT sum(x) AS x FROM stay), joint AS (SELECT id, value_hex, keep, x FROM stay UNION ALL SELECT -1, '', false, x FROM total),
+d AS (SELECT id, value_hex, keep, {_DIGAMMA} AS y FROM (SELECT *, greatest(0, ceil(7 - x))::INTEGER AS k FROM joint))
 SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS id, value_hex, round(y - (SELECT y FROM d WHERE id = -1), 6) AS score, keep FROM d WHERE id >= 0"""
 )
 def m_step(spark, sf_dir):

@@ -40,10 +40,8 @@ def processors(names: list[str], text: Column) -> Column:
 
 def digamma(x: Column) -> Column:
     """digamma for x >= 0.5, within codegen: at most seven steps of the recurrence, then the series."""
-    below, at = F.lit(0.0), x
-    for _ in range(7):
-        below = below + F.when(at < 7, 1 / at).otherwise(0.0)
-        at = F.when(at < 7, at + 1).otherwise(at)
+    below = sum((F.when(x + i < 7, 1 / (x + i)).otherwise(0.0) for i in range(7)), F.lit(0.0))
+    at = x + F.greatest(F.ceil(7 - x), F.lit(0))
     y = at - 0.5
     u = 1 / (y * y)
     series = u * (1 / 24 + u * (-7 / 960 + u * (31 / 8064 - u * (127 / 30720))))

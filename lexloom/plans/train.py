@@ -38,7 +38,9 @@ def prune(samples: DataFrame, tokenizer: Tokenizer, size: int, *, dropout: float
             vocab = vocab_list(p.reestimated(vocab_frame(spark, vocab), expected))
         now = Tokenizer(vocab)
         frame = vocab_frame(spark, vocab)
-        judged = p.losses(frame, p.alternatives(frame, now), token_frequency(samples, now), n)
+        counts = token_frequency(samples, now).collect()  # at most one row a token
+        freq = spark.createDataFrame(counts, "id int, freq long")
+        judged = p.losses(frame, p.alternatives(frame, now), freq, n)
         vocab = vocab_list(p.pruned(judged, max(int(len(vocab) * shrink), size)))
         if len(vocab) >= len(before):
             break

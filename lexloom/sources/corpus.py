@@ -102,4 +102,4 @@ def vocab_frame(spark: SparkSession, tokens: Iterable[Token]) -> DataFrame:
 
 def vocab_list(vocab: DataFrame) -> list[Token]:
     """The table in order of id: of the vocabulary's size, whatever the corpus."""
-    return [Token(bytes(r[1]), r[2], r[3]) for r in vocab.select("id", "value", "score", "keep").orderBy("id").toLocalIterator()]
+    return [Token(bytes(r[1]), r[2], r[3]) for r in vocab.select("id", "value", "score", "keep").orderBy("id").collect()]
