@@ -21,13 +21,13 @@ GAP = "\x7f"
 
 def measures(text: Column) -> dict[str, Column]:
     """What the filters look at, as columns."""
-    n = F.length(text)
+    n = F.greatest(F.length(text), F.lit(1))  # of an empty text only the size counts
     lines = F.split(text, "\n", -1)
     longest = F.array_max(F.transform(lines, F.length))
     share = lambda pattern: 1 - F.length(F.regexp_replace(text, pattern, "")) / n
     out = {
         "n_bytes": F.octet_length(text),
-        "n_breaks": n - F.length(F.replace(text, F.lit("\n"), F.lit(""))),
+        "n_breaks": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))),
         "mean_line": (n - (F.size(lines) - 1)) / F.size(lines),
         "longest_line": longest,
         "alnum_share": share("[A-Za-z0-9]"),

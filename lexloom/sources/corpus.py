@@ -97,7 +97,7 @@ def write_tokens(tokens: Iterable[str], path: str) -> None:
 
 def vocab_frame(spark: SparkSession, tokens: Iterable[Token]) -> DataFrame:
     """A vocabulary as a table; ids are given, never implied by row order."""
-    return spark.createDataFrame([(i, bytearray(t.value), t.score, t.keep) for i, t in enumerate(tokens)], VOCAB)
+    return spark.createDataFrame([(i, bytearray(t.value), float(t.score), t.keep) for i, t in enumerate(tokens)], VOCAB)
 
 
 def vocab_list(vocab: DataFrame) -> list[Token]:
