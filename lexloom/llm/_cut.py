@@ -20,14 +20,17 @@ def cut_words(text: str, w: Words, d: int, start: np.ndarray, end: np.ndarray) -
     return "".join(kept) + text[at:]
 
 
-def with_texts(rows: pa.RecordBatch, texts: list, schema: pa.Schema) -> pa.RecordBatch:
-    """``rows`` in ``schema`` with ``texts`` for text and their lengths for n_chars."""
+def with_texts(rows: pa.RecordBatch, texts: list, touched: list[int], schema: pa.Schema) -> pa.RecordBatch:
+    """``rows`` in ``schema`` with ``texts`` for text, and for n_chars the lengths of the ``touched`` ones."""
     cols = []
-    for f in schema:
+    for k, f in enumerate(schema):
         if f.name == "text":
             cols.append(pa.array(texts, f.type))
-        elif f.name == "n_chars" and pa.types.is_integer(f.type):
-            cols.append(pa.array([None if t is None else len(t) for t in texts], f.type))
+        elif f.name == "n_chars" and pa.types.is_integer(f.type) and touched:
+            sizes = rows.column(k).to_pylist()
+            for i in touched:
+                sizes[i] = len(texts[i])
+            cols.append(pa.array(sizes, f.type))
         else:
-            cols.append(rows.column(rows.schema.get_field_index(f.name)))
+            cols.append(rows.column(k))
     return pa.RecordBatch.from_arrays(cols, schema=schema)

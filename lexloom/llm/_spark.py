@@ -52,6 +52,14 @@ def parts(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(amount / each), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def by_key(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(n, *(F.col(k) for k in keys))
 
@@ -106,4 +114,4 @@ def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
-__all__ = ["by_key", "local_path", "over_texts", "parts", "scratch_path", "shared_dir", "slices", "whole_partition", "written"]
+__all__ = ["by_key", "fresh", "local_path", "over_texts", "parts", "scratch_path", "shared_dir", "slices", "whole_partition", "written"]

@@ -12,8 +12,8 @@ words; a larger benchmark is joined by hash instead, with the same result.
 
 Defined cases: rows without doc_id give no findings and stay; items without
 item_id or under ``SHORTEST`` words match nothing; null and empty texts
-match nothing; several items with the same window all report it; repeated rows
-of a document report once; an empty table gives an empty table.
+match nothing; several items with the same window all report it; rows that
+repeat a doc_id are scanned each for itself, and equal findings reported once; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm._cut import cut_words, with_texts
-from lexloom.llm._spark import _slices, over_texts
+from lexloom.llm._spark import _slices, fresh, over_texts
 from lexloom.llm._text import U64, Words, union_spans, window_hash, words
 
 GRAM, SHORTEST, MAX_SHARE, BROADCAST_WORDS = 8, 4, 0.5, 2_000_000
@@ -103,14 +103,16 @@ def contamination(docs: DataFrame, bench: DataFrame, gram: int = GRAM, shortest:
     """The verified spans: doc_id, item_id, words start_word..end_word, the same in characters."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     if not _fits(bench, broadcast_words):
-        return _joined(docs, _items(bench), gram, shortest)
+        return _joined(docs, _items(bench), gram, shortest).drop("text_hash").distinct()
     held = docs.sparkSession.sparkContext.broadcast(Grams([(r[0], r[1]) for r in _items(bench).collect()], gram, shortest))
     found = over_texts(docs, "text", FOUND, lambda rows, texts: _spans(*held.value.hits(texts), rows.column(0)))
     return found.distinct()
 
 
 def _joined(docs: DataFrame, bench: DataFrame, gram: int, shortest: int) -> DataFrame:
-    """The same for a benchmark of any size: only windows whose hash both sides have are met, and verified."""
+    """The same, with text_hash, for a benchmark of any size: only windows whose hash both sides have are met, and verified."""
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    bench = bench.withColumn("text_hash", F.lit(0).cast("long"))
 
     def sizes(rows: pa.RecordBatch, texts: list) -> dict:
         n = np.diff(words(texts).bounds)
@@ -135,21 +137,24 @@ def _joined(docs: DataFrame, bench: DataFrame, gram: int, shortest: int) -> Data
                 size.append(np.full(len(i), n))
                 grams += [" ".join(normalised(texts[d], w, k, n)) for d, k in zip(w.doc[i].tolist(), i.tolist())]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            return {"key": cat(key), "id": rows.column(0).take(pa.array(cat(owner).astype(np.int64))), "at": cat(at), "n": cat(size), "gram": grams}
+            of = pa.array(cat(owner).astype(np.int64))
+            return {"key": cat(key), "id": rows.column(0).take(of), "text_hash": rows.column(2).take(of), "at": cat(at), "n": cat(size), "gram": grams}
 
         return fn
 
-    schema = "key long, id long, at long, n long, gram string"
+    schema = "key long, id long, text_hash long, at long, n long, gram string"
     left = over_texts(docs, "text", schema, windows(False))
     right = over_texts(bench, "text", schema, windows(True)).select("key", F.col("id").alias("item_id"), "gram").distinct()
-    met = left.join(right, ["key", "gram"]).groupBy("id", "item_id").agg(F.collect_list(F.struct("at", "n")).alias("wins"))
-    full = docs.join(met, docs["doc_id"] == met["id"]).select("doc_id", "text", "item_id", "wins")
+    met = left.join(right, ["key", "gram"]).groupBy("id", F.col("text_hash").alias("of_text"), "item_id").agg(F.collect_list(F.struct("at", "n")).alias("wins"))
+    # rows that share a doc_id have windows of their own
+    full = docs.join(met, (docs["doc_id"] == met["id"]) & (docs["text_hash"] == met["of_text"])).select("doc_id", "text", "item_id", "wins", "text_hash")
 
     def fn(rows: pa.RecordBatch, texts: list) -> dict:
         found = {(d, item): [(x["at"], x["n"]) for x in wins] for d, (item, wins) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()))}
-        return _spans(words(texts), found, rows.column(0))
+        got = _spans(words(texts), found, pa.array(np.arange(len(texts))))
+        return {**got, "doc_id": rows.column(0).take(got["doc_id"]), "text_hash": rows.column(4).take(got["doc_id"])}
 
-    return over_texts(full, "text", FOUND, fn).distinct()
+    return over_texts(full, "text", f"{FOUND}, text_hash long", fn).distinct()
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, gram: int = GRAM, shortest: int = SHORTEST, max_share: float = MAX_SHARE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -172,8 +177,10 @@ def decontaminated(docs: DataFrame, bench: DataFrame, gram: int = GRAM, shortest
                     yield _rewrite(part, part.schema, texts, {d: s for d, s in by_doc.items() if known[d]}, w, max_share)
 
         return docs.mapInArrow(run, docs.schema)
-    spans = contamination(docs, bench, gram, shortest, broadcast_words).groupBy(F.col("doc_id").alias("__lx_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__lx_spans"))
-    both = docs.join(spans, docs["doc_id"] == spans["__lx_id"], "left").drop("__lx_id")
+    owner, of_text = fresh(docs, "span_doc"), fresh(docs, "span_text")
+    found = _joined(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), _items(bench), gram, shortest)
+    spans = found.groupBy(F.col("doc_id").alias(owner), F.col("text_hash").alias(of_text)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(fresh(docs, "spans")))
+    both = docs.join(spans, (docs["doc_id"] == spans[owner]) & (F.xxhash64(docs["text"]) == spans[of_text]), "left").drop(owner, of_text)
     names = len(docs.columns)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +205,7 @@ def _rewrite(rows: pa.RecordBatch, schema: pa.Schema, texts: list, spans: dict[i
         keep[d] = lost < n and lost <= max_share * n
         if keep[d]:
             texts[d] = cut_words(texts[d], w, d, a, b)
-    return with_texts(rows, texts, schema).filter(pa.array(keep))
+    return with_texts(rows, texts, [d for d in spans if keep[d]], schema).filter(pa.array(keep))
 
 
 __all__ = ["Grams", "contamination", "decontaminated"]

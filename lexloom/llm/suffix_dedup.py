@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm._cut import cut_words, with_texts
-from lexloom.llm._spark import over_texts, parts, whole_partition, written
+from lexloom.llm._spark import fresh, over_texts, parts, whole_partition, written
 from lexloom.llm._suffix import common_prefix, lcp_array, suffix_array
 from lexloom.llm._text import U64, Words, mix64, window_hash, words
 
@@ -233,8 +233,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHO
 
 def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """The documents without their marked spans; one that has no word left goes."""
-    spans = repeated_passages(docs, length, anchor).groupBy(F.col("doc_id").alias("__lx_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__lx_spans"))
-    both = docs.join(spans, docs["doc_id"] == spans["__lx_id"], "left").drop("__lx_id")
+    spans = repeated_passages(docs, length, anchor).groupBy(F.col("doc_id").alias(owner := fresh(docs, "span_doc"))).agg(F.collect_list(F.struct("start_word", "end_word")).alias(fresh(docs, "spans")))
+    both = docs.join(spans, docs["doc_id"] == spans[owner], "left").drop(owner)
     at, names = both.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +251,6 @@ def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFram
                 a, b = (np.minimum(np.array(x, np.int64), len(w.hash)) for x in zip(*ab))
                 texts[k] = cut_words(text, w, 0, a, b)
                 keep[k] = len(words([texts[k]]).hash) > 0
-            yield with_texts(rows, texts, schema).filter(pa.array(keep))
+            yield with_texts(rows, texts, touched.tolist(), schema).filter(pa.array(keep))
 
     return both.mapInArrow(run, docs.schema)
