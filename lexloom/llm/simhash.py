@@ -11,7 +11,7 @@ pair at least r blocks agree, so every choice of r blocks is a table whose
 rows meet where those blocks agree.  Within such a group the fingerprints form
 a binary trie, and node pairs are walked down together, level by level for all
 groups of a partition at once, adding up differing bits and dropping a pair
-once they exceed the budget.  r grows with the number of distinct fingerprints
+once they exceed the budget, or once all its rows are known to be connected.  r grows with the number of distinct fingerprints
 so that groups stay small; the result is the same for any r.
 
 Defined cases: rows without doc_id or without any word are in no group; rows
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._spark import over_texts, parts, whole_partition, written
+from lexloom.llm._spark import fresh, over_texts, parts, whole_partition, written
 from lexloom.llm._text import U64, Words, window_hash, words
 
-BITS, CONFIRM, GROUP = 7, 22, 64
+BITS, CONFIRM, GROUP, LEAF = 7, 22, 64, 4096
 
 
 def fold(features: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -87,49 +87,104 @@ def blocks_for(n: int, bits: int, group: int = GROUP) -> int:
     return r
 
 
-def trie_join(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j (after sorting) of one group within ``budget`` differing bits.
+class Trees:
+    """Which rows are known to be of one component; unions are carried out in bulk."""
+
+    def __init__(self, code: np.ndarray, n: int) -> None:
+        self.code, self.root, self.turn = code, np.arange(n), 0
+        self._i, self._j, self._size = [], [], 0
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.code[rows]]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = self.of(i), self.of(j)
+        apart = i != j
+        if apart.any():
+            self._i.append(i[apart])
+            self._j.append(j[apart])
+            self._size += len(self._i[-1])
+            if self._size > 4096:
+                self.settle()
+
+    def settle(self) -> None:
+        if self._size:
+            self.root = forest(np.concatenate(self._i), np.concatenate(self._j), len(self.root))[self.root]
+            self._i, self._j, self._size = [], [], 0
+            self.turn += 1
+
+
+def neighbours(fp: np.ndarray, group: np.ndarray, budget: int, turns: int = 8, reach: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the pairs within ``budget``: rows that are close in the order of their bits, rotated ``turns`` ways."""
+    for k in range(turns):
+        by = U64(k * 64 // turns)
+        order = np.lexsort(((fp << by) | (fp >> (U64(64) - by)) if k else fp, group))
+        for step in range(1, reach + 1):
+            i, j = order[:-step], order[step:]
+            ok = (group[i] == group[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            yield i[ok], j[ok]
+
+
+def _row_pairs(alo: np.ndarray, n: np.ndarray, blo: np.ndarray, m: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows alo..alo+n and blo..blo+m of each pair of nodes, about ``most`` at a time."""
+    row = np.repeat(alo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    start, size = np.repeat(blo, n), np.repeat(m, n)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(row):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        k = size[at:end]
+        first = np.cumsum(k) - k
+        yield np.repeat(row[at:end], k), np.arange(int(k.sum())) + np.repeat(start[at:end] - first, k)
+        at = end
+
+
+def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000, trees: Trees | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All i < j (after sorting) of one group within ``budget`` differing bits, a run at a time.
 
     A trie node is a range of the sorted rows that agree on the bits so far.
     A pair of nodes splits into its (up to) four pairs of children, of which
-    those on different sides spend one bit of the budget.  Walks are split
-    into runs of at most ``most`` node pairs, which bounds memory.
+    those on different sides spend one bit of the budget.  Walks go down in
+    runs of at most ``most`` node pairs and hand their pairs on as they find
+    them, so memory depends neither on the number of pairs nor on that of nodes.
+    With ``trees``, node pairs whose rows are all known to be of one component
+    are left out: what they hold joins nothing.
     """
-    order = np.lexsort((fp, group))
+    order = np.lexsort((fp, group)).astype(np.int32)
     f, g = fp[order], group[order]
-    lo = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-    hi = np.append(lo[1:], len(g))
+    lo = (np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)).astype(np.int32)
+    hi = np.append(lo[1:], len(g)).astype(np.int32)
     roots = (hi - lo) > 1
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(63, lo[roots], hi[roots], lo[roots], hi[roots], np.full(int(roots.sum()), budget))]
+    ones: dict[int, np.ndarray] = {}
+    turn, tree, change = -1, order, order
+    stack = [(63, lo[roots], hi[roots], lo[roots], hi[roots], np.full(int(roots.sum()), budget, np.int8))]
     while stack:
         bit, alo, ahi, blo, bhi, left = stack.pop()
         if len(alo) > most:
-            mid = len(alo) // 2
-            stack += [(bit, *(x[:mid] for x in (alo, ahi, blo, bhi, left))), (bit, *(x[mid:] for x in (alo, ahi, blo, bhi, left)))]
-            continue
-        # a pair of single rows is compared to its end at once
-        leaf = (ahi - alo == 1) & (bhi - blo == 1)
+            stack += [(bit, alo[:-most], ahi[:-most], blo[:-most], bhi[:-most], left[:-most])]
+            alo, ahi, blo, bhi, left = (x[-most:].copy() for x in (alo, ahi, blo, bhi, left))
+        if trees is not None:
+            if turn != trees.turn:
+                turn, tree = trees.turn, trees.of(order)
+                change = np.append(0, np.cumsum(tree[1:] != tree[:-1]))
+            ok = (tree[alo] != tree[blo]) | (change[ahi - 1] != change[alo]) | (change[bhi - 1] != change[blo])
+            alo, ahi, blo, bhi, left = (x[ok] for x in (alo, ahi, blo, bhi, left))
+        # small nodes, and equal rows, are compared row by row
+        n, m = (ahi - alo).astype(np.int64), (bhi - blo).astype(np.int64)
+        leaf = n * m <= LEAF if bit >= 0 else np.ones(len(n), bool)
         if leaf.any():
-            i, j = alo[leaf], blo[leaf]
-            rest = (f[i] ^ f[j]) & U64((1 << (bit + 1)) - 1) if bit >= 0 else np.zeros(len(i), U64)
-            ok = (np.bitwise_count(rest) <= left[leaf]) & (i != j)
-            out.append((i[ok], j[ok]))
+            for i, j in _row_pairs(alo[leaf], n[leaf], blo[leaf], m[leaf]):
+                ok = (np.bitwise_count(f[i] ^ f[j]) <= budget) & (i < j)
+                yield order[i[ok]], order[j[ok]]
             inner = ~leaf
             alo, ahi, blo, bhi, left = (x[inner] for x in (alo, ahi, blo, bhi, left))
         if not len(alo):
             continue
-        if bit < 0:  # equal fingerprints under one node: all their pairs
-            n, m = ahi - alo, bhi - blo
-            k = np.repeat(np.arange(len(alo)), n * m)
-            t = np.arange(len(k)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
-            i, j = alo[k] + t // m[k], blo[k] + t % m[k]
-            ok = i < j
-            out.append((i[ok], j[ok]))
-            continue
         # rows under a node are sorted, so its zeros at this bit come first
-        acc = np.zeros(len(f) + 1, np.int32)
-        np.cumsum((f >> U64(bit)) & U64(1), out=acc[1:])
+        if bit not in ones:
+            ones[bit] = np.zeros(len(f) + 1, np.int32)
+            np.cumsum((f >> U64(bit)) & U64(1), out=ones[bit][1:])
+        acc = ones[bit]
         amid, bmid = ahi - (acc[ahi] - acc[alo]), bhi - (acc[bhi] - acc[blo])
         same = (alo == blo) & (ahi == bhi)
         nxt = []
@@ -139,12 +194,15 @@ def trie_join(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 200_00
                 ok &= ~skip
             # a node with itself needs two rows to hold a pair
             ok &= ~((x == z) & (y == u) & (y - x == 1))
-            nxt.append((x[ok], y[ok], z[ok], u[ok], left[ok] - cost))
+            nxt.append((x[ok], y[ok], z[ok], u[ok], (left[ok] - cost).astype(np.int8)))
         stack.append((bit - 1, *(np.concatenate(c) for c in zip(*nxt))))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = (np.concatenate(c) for c in zip(*out))
-    return order[i], order[j]
+
+
+def trie_join(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``trie_walk`` as a whole."""
+    found = list(trie_walk(fp, group, budget, most))
+    i, j = (np.concatenate(c).astype(np.int64) if found else np.zeros(0, np.int64) for c in (list(zip(*found)) or [(), ()]))
+    return i, j
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -186,11 +244,14 @@ def near_pairs(prints: DataFrame, bits: int = BITS, confirm: int = CONFIRM, bloc
         o = np.lexsort((agree, t))
         group = np.zeros(len(o), np.int64)
         group[o] = np.cumsum(np.append(True, (agree[o][1:] != agree[o][:-1]) | (t[o][1:] != t[o][:-1])))
-        i, j = trie_join(fp, group, bits)
-        ok = np.bitwise_count(fp3[i] ^ fp3[j]) <= confirm
-        i, j = i[ok], j[ok]
         ids, code = np.unique(ident, return_inverse=True)
-        root = forest(code[i], code[j], len(ids))
+        trees = Trees(code, len(ids))
+        for first in (True, False):  # cheap pairs first, which spare the walk most of the rest
+            for i, j in neighbours(fp, group, bits) if first else trie_walk(fp, group, bits, trees=trees):
+                ok = np.bitwise_count(fp3[i] ^ fp3[j]) <= confirm
+                trees.join(i[ok], j[ok])
+            trees.settle()
+        root = trees.root
         moved = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
 
@@ -244,8 +305,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, b
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """The documents less those that are a near copy of one that stays."""
-    gone = near_duplicates(docs, **kw).select(F.col("doc_id").alias("__lx_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__lx_gone"], "left_anti")
+    gone = near_duplicates(docs, **kw).select(F.col("doc_id").alias(fresh(docs, "gone_id")))
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 __all__ = ["components", "deduplicated", "fingerprints", "near_duplicates", "near_pairs", "trie_join"]
