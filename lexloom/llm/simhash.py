@@ -1,18 +1,21 @@
 """Near-duplicate documents: SimHash fingerprints joined by a binary trie.
 
-A document's fingerprint is the 64-bit SimHash of its words and word pairs;
-a second one, of its word triples, confirms a candidate.  Two documents are
-near copies if the first differs in at most ``BITS`` bits and the second in at
-most ``CONFIRM``.  Copies are closed transitively and the smallest doc_id of
-a group stays.
+A document's fingerprint is the 64-bit SimHash of its distinct words; a second
+one, of its distinct word triples, sifts the candidates.  Two documents are
+near copies if the first differs in at most ``BITS`` bits, the second in at
+most ``CONFIRM``, and the Jaccard similarity of their sets of triples (by 64-bit
+hashes; a shorter text is one shingle) is at least ``SHARE``.  Copies are closed
+transitively and the smallest doc_id of a group stays.
 
 The join is exact.  The 64 bits are cut into ``BITS + r`` blocks; of any near
 pair at least r blocks agree, so every choice of r blocks is a table whose
 rows meet where those blocks agree.  Within such a group the fingerprints form
 a binary trie, and node pairs are walked down together, level by level for all
 groups of a partition at once, adding up differing bits and dropping a pair
-once they exceed the budget, or once all its rows are known to be connected.  r grows with the number of distinct fingerprints
-so that groups stay small; the result is the same for any r.
+once they exceed the budget, or once all its rows are known to be connected.  r grows with the number of distinct word sequences
+so that groups stay small; the result is the same for any r.  The triples of
+each connected group of candidates are then brought to one task, which compares
+the sets of its candidate pairs as long as they are not known to be connected.
 
 Defined cases: rows without doc_id or without any word are in no group; rows
 that repeat a doc_id are one document, whose first fingerprint in order
@@ -30,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm._spark import fresh, over_texts, parts, whole_partition, written
-from lexloom.llm._text import U64, Words, window_hash, words
+from lexloom.llm._text import U64, Words, mix64, window_hash, words
 
-BITS, CONFIRM, GROUP, LEAF = 7, 22, 64, 4096
+BITS, CONFIRM, SHARE, GROUP, LEAF = 10, 22, 0.6, 512, 4096
 
 
 def fold(features: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -64,13 +67,50 @@ def _grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[ok], w.doc[: len(h)][ok]
 
 
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's features once, in order."""
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
+def _prints(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    n = len(w.bounds) - 1
+    return fold(*_distinct(w.hash, w.doc), n), fold(*_distinct(*_grams(w, 3)), n)
+
+
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words and pairs, triples, number of words) of every text."""
+    """(distinct words, distinct triples, number of words) of every text."""
     w = words(texts)
-    two, two_doc = _grams(w, 2)
-    doc = np.concatenate([w.doc, two_doc])
-    o = np.argsort(doc, kind="stable")
-    return fold(np.concatenate([w.hash, two])[o], doc[o], len(texts)), fold(*_grams(w, 3), len(texts)), np.diff(w.bounds)
+    return *_prints(w), np.diff(w.bounds)
+
+
+def sequence_hash(w: Words) -> np.ndarray:
+    """Equal for texts of the same words in the same order."""
+    out = np.zeros(len(w.bounds) - 1, U64)
+    with np.errstate(over="ignore"):
+        at = (np.arange(len(w.hash)) - w.bounds[w.doc]).astype(U64)
+        np.add.at(out, w.doc, mix64(w.hash + at * U64(0x9E3779B97F4A7C15)))
+    return mix64(out ^ mix64(np.diff(w.bounds).astype(U64)))
+
+
+def shingles(w: Words) -> list[np.ndarray]:
+    """The distinct triples of each text, sorted; those of fewer words are one shingle."""
+    h, doc = _distinct(*_grams(w, 3))
+    edge = np.searchsorted(doc, np.arange(len(w.bounds)))
+    whole = sequence_hash(w)
+    return [h[a:z] if z > a else whole[d : d + 1] for d, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))]
+
+
+def alike(a: np.ndarray, b: np.ndarray, share: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``share``."""
+    if min(len(a), len(b)) < share * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= share * (len(both) - common)
 
 
 def masks(bits: int, r: int) -> list[np.uint64]:
@@ -221,7 +261,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def near_pairs(prints: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None) -> DataFrame:
-    """Edges (src, dst) that connect the near copies among rows (id, fp, fp3): a spanning forest for each task, not all pairs."""
+    """Edges (src, dst) that connect the candidates among rows (id, fp, fp3): a spanning forest for each task, not all pairs."""
     spark = prints.sparkSession
     n = prints.count()
     r = blocks or blocks_for(n, bits)
@@ -284,23 +324,80 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
 
 
+def confirmed(sets: DataFrame, bits: int, confirm: int, share: float) -> DataFrame:
+    """(id, root): the groups of near copies, by comparing shingles, among rows (group, id, fp, fp3, shingles) of candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = whole_partition(batches)
+        if held is None:
+            return
+        ids, first = np.unique(held.column("id").to_numpy(), return_index=True)  # a row that repeats counts once
+        held = held.take(pa.array(first))
+        _, group = np.unique(held.column("group").to_numpy(), return_inverse=True)
+        fp, fp3 = (held.column(c).to_numpy().view(U64) for c in ("fp", "fp3"))
+        of = [np.frombuffer(x.as_buffer(), U64) for x in held.column("shingles")]
+        up = list(range(len(ids)))
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        trees = Trees(np.arange(len(ids)), len(ids))
+        for near in (True, False):
+            for i, j in neighbours(fp, group, bits) if near else trie_walk(fp, group, bits, trees=trees):
+                ok = np.flatnonzero((np.bitwise_count(fp3[i] ^ fp3[j]) <= confirm) & (trees.of(i) != trees.of(j)))
+                same = []
+                for k, a, b in zip(ok.tolist(), i[ok].tolist(), j[ok].tolist()):
+                    x, y = top(a), top(b)
+                    if x != y and alike(of[a], of[b], share):
+                        up[max(x, y)] = min(x, y)
+                        same.append(k)
+                trees.join(i[same], j[same])
+                trees.settle()
+        moved = np.flatnonzero(trees.root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[trees.root[moved]])], ["id", "root"])
+
+    amount = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    return sets.repartition(parts(sets.sparkSession, amount, 64_000_000), "group").mapInArrow(run, "id long, root long")
+
+
 def prints_of(docs: DataFrame) -> DataFrame:
     def fn(rows: pa.RecordBatch, texts: list) -> dict:
-        fp, fp3, n = fingerprints(texts)
-        ok = pa.array(n > 0)
-        return {c: pa.array(v).filter(ok) for c, v in (("doc_id", rows.column(0)), ("fp", fp.view(np.int64)), ("fp3", fp3.view(np.int64)))}
+        w = words(texts)
+        ok = pa.array(np.diff(w.bounds) > 0)
+        own = zip(("fp", "fp3", "id"), (*_prints(w), sequence_hash(w)))
+        return {"doc_id": rows.column(0).filter(ok), "text_hash": rows.column(2).filter(ok), **{c: pa.array(v.view(np.int64)).filter(ok) for c, v in own}}
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return over_texts(docs, "text", "doc_id long, text_hash long, fp long, fp3 long, id long", fn)
+
+
+def _gone(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None, share: float = SHARE) -> DataFrame:
+    """(doc_id, text_hash, kept_id) of every document that is a near copy of one that stays."""
+    prints = prints_of(docs).groupBy("doc_id").agg(F.min(F.struct("text_hash", "fp", "fp3", "id")).alias("p")).select("doc_id", "p.*")
+    prints = written(prints, "prints")
+    # equal word sequences are one node, so that copies by the thousand cost one row
+    nodes = prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "fp", "fp3")).alias("p")).select("id", "p.*")
+    nodes = written(nodes, "nodes")
+    groups = written(components(near_pairs(nodes, bits, confirm, blocks)), "groups").select("id", F.col("root").alias("group"))
+    groups = groups.unionAll(groups.select(F.col("group").alias("id"), "group").distinct())
+    asked = nodes.join(groups, "id").select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "group", "id", "fp", "fp3")
+    texts = docs.select("doc_id", "text").join(asked, (F.col("doc_id") == F.col("of_doc")) & (F.xxhash64("text") == F.col("of_text")))
+
+    def fn(rows: pa.RecordBatch, texts: list) -> dict:
+        return {**{c: rows.column(k) for k, c in enumerate(("group", "id", "fp", "fp3"), 1)}, "shingles": [x.tobytes() for x in shingles(words(texts))]}
 
-    return over_texts(docs.select("doc_id", "text").where("doc_id is not null"), "text", "doc_id long, fp long, fp3 long", fn)
+    sets = written(over_texts(texts.select("text", "group", "id", "fp", "fp3"), "text", "group long, id long, fp long, fp3 long, shingles binary", fn), "shingles")
+    roots = written(confirmed(sets, bits, confirm, share), "roots")
+    named = prints.join(roots, "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).where("n > 1")
+    return named.join(kept, "root").where(F.struct("doc_id", "text_hash") != F.col("k")).select("doc_id", "text_hash", F.col("k.doc_id").alias("kept_id"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, kept_id): every document that is a near copy of another, and the document of its group that stays."""
-    prints = written(prints_of(docs).groupBy("doc_id").agg(F.min(F.struct("fp", "fp3")).alias("p")).select("doc_id", "p.fp", "p.fp3"), "prints")
-    # equal fingerprints are one node, so that copies by the thousand cost one row
-    nodes = written(prints.groupBy("fp", "fp3").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
-    roots = written(components(near_pairs(nodes, bits, confirm, blocks)), "roots")
-    named = nodes.join(roots, "id", "left").where("n > 1 or root is not null").select("fp", "fp3", F.coalesce("root", "id").alias("kept_id"))
-    return prints.join(named, ["fp", "fp3"]).where("doc_id <> kept_id").select("doc_id", "kept_id")
+    return _gone(docs, **kw).select("doc_id", "kept_id")
 
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:

@@ -256,3 +256,23 @@ def test_long_documents_fold_in_pieces():
     h = rng.integers(0, 2**63, 130_000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
     assert int(simhash.fold(h, np.zeros(len(h), np.int64), 1)[0]) == want
+
+
+def test_long_documents_of_one_language_stay_and_edited_copies_go(spark):
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(3000)]
+    prose = lambda n: rng.choices(vocab, [1 / (k + 1) for k in range(3000)], k=n)
+    texts = [prose(rng.randrange(1500, 4000)) for _ in range(60)]
+    for k in range(20):
+        base = prose(rng.randrange(80, 300))
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), len(copy) // 25):
+            copy[at] = f"new{k}x{at}"
+        texts += [base, copy]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    grams = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    near = dict(brute_groups(range(len(rows)), lambda a, b: share(a, b) >= 0.6))
+    got = dict(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))
+    assert len(near) == 20 and all(near.get(i) == k for i, k in got.items())
+    assert len(got) >= 0.9 * len(near)
