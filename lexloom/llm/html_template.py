@@ -3,8 +3,10 @@
 Pages of one host are strings of tokens: tags and words.  Tokens whose numbers
 of occurrences agree on every page form an equivalence class.  The largest
 class of tokens that occur once on at least half of the host's pages is the
-skeleton, in the order it has on all of them; a class whose order differs
-between pages is not valid and is dropped.  Every other class is nested into the one
+skeleton, in the order it has on all of them.  Where the order differs between
+pages, the tokens in conflict are taken out, of each page as few as can be and
+words before tags; the largest class that is left then, of ``LEAST_CLASS`` tokens
+or more, is the skeleton.  Every other class is nested into the one
 slot of the skeleton in which it always lies, if its tokens come there in one
 order, over and over.  What is left between the template's tokens is the data: one
 row for each filled slot and, in a nested class, for each of its turns.
@@ -71,7 +73,55 @@ def template(found: list[tuple[str, int, int, int, int, int]], n_pages: int, sup
     # the sum of places orders tokens as every page does, if all pages agree
     skeleton = [t for _, t in sorted(single[0][2])]
     rest = sorted([t for _, t in sorted(c)] for c in classes.values() if len(c) >= 2 and c is not single[0][2])
-    return {"skeleton": skeleton, "nested": rest, "pages": single[0][0]}
+    at = {c[0]: i for i, c in enumerate(rest)}
+    others = [(pages, at[min(c)[1]]) for pages, _, c in single[1:]] if least >= 2 else []
+    return {"skeleton": skeleton, "nested": rest, "pages": single[0][0], "others": others}
+
+
+def in_order(ranks: list[int], weights: list[int]) -> set[int]:
+    """The heaviest ascending subsequence of distinct ``ranks`` within 0..n-1."""
+    n = len(ranks)
+    tree, before = [(0, -1)] * (n + 1), {}
+    for r in ranks:
+        best, k = (0, -1), r
+        while k > 0:
+            best, k = max(best, tree[k]), k & (k - 1)
+        before[r] = best[1]
+        best, k = (best[0] + weights[r], r), r + 1
+        while k <= n:
+            tree[k], k = max(tree[k], best), k + (k & -k)
+    r, k = (0, -1), n
+    while k > 0:
+        r, k = max(r, tree[k]), k & (k - 1)
+    kept, r = set(), r[1]
+    while r >= 0:
+        kept.add(r)
+        r = before[r]
+    return kept
+
+
+def conflicts(toks: list[str], t: dict) -> list[tuple[int, int]]:
+    """(class, token) of what must go for this page's order to be that of the draft; class -1 is the skeleton."""
+    out = []
+    for c, names in [(-1, t["skeleton"]), *((c, t["nested"][c]) for _, c in t["others"])]:
+        rank = {name: k for k, name in enumerate(names)}
+        here = [rank[tok] for tok in toks if tok in rank]
+        if sorted(here) == list(range(len(names))) != here:
+            kept = in_order(here, [len(names) + 1 if name[0] == "<" and len(name) > 1 else 1 for name in names])
+            out += [(c, k) for k in here if k not in kept]
+    return out
+
+
+def mended(t: dict, gone: set[tuple[int, int]], least: int) -> dict | None:
+    """The draft with the largest class that is left without its tokens in conflict."""
+    classes = [(t["pages"], -1, t["skeleton"]), *((pages, c, t["nested"][c]) for pages, c in t["others"])]
+    left = [(pages, c, [name for k, name in enumerate(names) if (c, k) not in gone]) for pages, c, names in classes]
+    left = sorted((x for x in left if len(x[2]) >= least), key=lambda x: (-x[0], -len(x[2]), x[2]))
+    if not left:
+        return None
+    pages, chosen, skeleton = left[0]
+    rest = [names for c, names in enumerate(t["nested"]) if c != chosen] + ([t["skeleton"]] if chosen >= 0 else [])
+    return {"skeleton": skeleton, "nested": sorted(rest), "pages": pages, "others": []}
 
 
 def places(toks: list[str], skeleton: list[str]) -> list[int] | None:
@@ -194,8 +244,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
                 x[0], x[1], x[2] = min(x[0], lo), max(x[1], hi), x[2] + bad
         return {"host": [h for h, _ in out], "c": [c for _, c in out], **{n: [x[k] for x in out.values()] for k, n in enumerate(("lo", "hi", "bad"))}}
 
-    checked = _with(pages, drafts, json.loads, check, "host string, c int, lo int, hi int, bad long").groupBy("host", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bad").alias("bad"))
-    good = checked.groupBy("host").agg(F.collect_list(F.struct("c", "lo", "hi", "bad")).alias("v"))
+    def checked(drafts: DataFrame) -> DataFrame:
+        found = _with(pages, drafts, json.loads, check, "host string, c int, lo int, hi int, bad long").groupBy("host", "c")
+        found = found.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bad").alias("bad"))
+        good = found.groupBy("host").agg(F.collect_list(F.struct("c", "lo", "hi", "bad")).alias("v"))
+        return written(drafts.join(good, "host").select("host", "t", "v"), "checked")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -209,7 +262,27 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
                 out.append(json.dumps({"skeleton": t["skeleton"], "nested": [t["nested"][c] for c in fit], "slots": [v[c]["lo"] for c in fit]}))
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(out, pa.string())], ["host", "template"])
 
-    return drafts.join(good, "host").select("host", "t", "v").mapInArrow(settle, "host string, template string")
+    def order(rows: list[tuple], of: Callable[[str], object]) -> dict:
+        out = set()
+        for _, url, text in rows:
+            host = host_of(url)
+            t = of(host)
+            out.update((host, *x) for x in conflicts(tokens(text), t)) if t else None
+        return {n: [x[k] for x in out] for k, n in enumerate(("host", "c", "k"))}
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            got = [(host, mended(json.loads(t), {(x["c"], x["k"]) for x in gone or ()}, least)) for host, t, gone in zip(*(rows.column(i).to_pylist() for i in range(3)))]
+            got = [(host, json.dumps(t)) for host, t in got if t]
+            yield pa.record_batch([pa.array([h for h, _ in got], pa.string()), pa.array([t for _, t in got], pa.string())], ["host", "t"])
+
+    done = checked(drafts)
+    faulty = done.where(F.exists("v", lambda x: (x["c"] == -1) & (x["bad"] > 0))).select("host", "t")
+    if faulty.limit(1).count():
+        gone = _with(pages, faulty, json.loads, order, "host string, c int, k int").distinct().groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("c", "k")).alias("gone"))
+        again = faulty.join(gone, faulty["host"] == gone["of"], "left").select("host", "t", "gone")
+        done = done.unionAll(checked(written(again.mapInArrow(mend, "host string, t string"), "mended")))
+    return done.mapInArrow(settle, "host string, template string")
 
 
 def _has_repeats(pages: DataFrame) -> bool:

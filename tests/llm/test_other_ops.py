@@ -229,6 +229,26 @@ def test_a_page_that_differs_gives_its_whole_text(spark):
     assert got[9] == (-1, "quite another page") and got[0][0] >= 0
 
 
+def test_a_word_out_of_order_does_not_spoil_the_template(spark):
+    rows = [(i, "http://h.org/", page(f"T{i}" + " today" * (i % 2), [("a", f"b{i}" + " today" * (1 - i % 2))])) for i in range(6)]
+    got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for i in range(6):
+        mine = [r for r in got if r["page_id"] == i]
+        assert all(r["slot"] >= 0 for r in mine)
+        assert sorted(w for r in mine for w in r["text"].split()) == sorted([f"T{i}", f"b{i}", "today"])
+
+
+def test_in_order_matches_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randrange(1, 8)
+        ranks, weights = rng.sample(range(n), n), [rng.choice([1, n + 1]) for _ in range(n)]
+        kept = html_template.in_order(ranks, weights)
+        assert [r for r in ranks if r in kept] == sorted(kept)
+        subsets = [[r for b, r in enumerate(ranks) if m >> b & 1] for m in range(1 << n)]
+        assert sum(weights[r] for r in kept) == max(sum(weights[r] for r in x) for x in subsets if x == sorted(x))
+
+
 # language identification
 
 
