@@ -18,8 +18,10 @@ each connected group of candidates are then brought to one task, which compares
 the sets of its candidate pairs as long as they are not known to be connected.
 
 Defined cases: rows without doc_id or without any word are in no group; rows
-that repeat a doc_id are one document, whose first fingerprint in order
-counts, and share its fate; an empty table gives an empty table.
+that share a doc_id but not their text are documents of their own, told apart by
+the text's hash, so that a row can be reported with its own doc_id as kept_id;
+rows equal in doc_id and text are one document and share its fate; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -375,8 +377,7 @@ def prints_of(docs: DataFrame) -> DataFrame:
 
 def _gone(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, kept_id) of every document that is a near copy of one that stays."""
-    prints = prints_of(docs).groupBy("doc_id").agg(F.min(F.struct("text_hash", "fp", "fp3", "id")).alias("p")).select("doc_id", "p.*")
-    prints = written(prints, "prints")
+    prints = written(prints_of(docs).dropDuplicates(["doc_id", "text_hash"]), "prints")
     # equal word sequences are one node, so that copies by the thousand cost one row
     nodes = prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "fp", "fp3")).alias("p")).select("id", "p.*")
     nodes = written(nodes, "nodes")
@@ -397,13 +398,14 @@ def _gone(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, kept_id): every document that is a near copy of another, and the document of its group that stays."""
-    return _gone(docs, **kw).select("doc_id", "kept_id")
+    return _gone(docs, **kw).select("doc_id", "kept_id").distinct()
 
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """The documents less those that are a near copy of one that stays."""
-    gone = near_duplicates(docs, **kw).select(F.col("doc_id").alias(fresh(docs, "gone_id")))
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    owner, of_text = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    gone = _gone(docs, **kw).select(F.col("doc_id").alias(owner), F.col("text_hash").alias(of_text))
+    return docs.join(gone, (docs["doc_id"] == gone[owner]) & (F.xxhash64(docs["text"]) == gone[of_text]), "left_anti")
 
 
 __all__ = ["components", "deduplicated", "fingerprints", "near_duplicates", "near_pairs", "trie_join"]

@@ -16,8 +16,9 @@ through the index for their matching statistics; positions that match
 whose common prefix is shorter.
 
 Defined cases: rows without doc_id are neither marked nor matched, and stay; a
-null or short text has no window; rows that repeat a doc_id are one document,
-whose own rows do not mark each other at equal positions; a text that
+null or short text has no window; rows that share a doc_id but not their text
+are documents of their own, in the order of the text's hash, and may mark each
+other; rows equal in doc_id and text are one document; a text that
 loses all its words is dropped by ``cut``; an empty table gives an empty table.
 """
 
@@ -175,21 +176,22 @@ def mark(key: np.ndarray, doc: np.ndarray, at: np.ndarray, codes: list[bytes], l
     return {"doc_id": doc[r[cut]], "a": here[cut], "z": here[z], "first_doc_id": src[cut]}
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, first_doc_id) of every marked span; end_word is exclusive."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(doc_id, text_hash, start_word, end_word, first_doc_id) of every marked span."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
 
     def seen(rows: pa.RecordBatch, texts: list) -> dict:
         w = words(texts)
         a, z, h = pieces(w, length, anchor)
-        return {"key": h.view(np.int64), "doc_id": rows.column(0).take(pa.array(w.doc[a])), "n": z - a + length}
+        of = pa.array(w.doc[a])
+        return {"key": h.view(np.int64), "doc_id": rows.column(0).take(of), "text_hash": rows.column(2).take(of), "n": z - a + length}
 
-    anchors = written(over_texts(docs, "text", "key long, doc_id long, n int", seen), "anchors")
+    anchors = written(over_texts(docs, "text", "key long, doc_id long, text_hash long, n int", seen), "anchors")
     shared = anchors.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1").select("key", "n")
     shared = written(shared, "shared")
     amount = shared.agg(F.sum("n")).first()[0] or 0
-    wanted = anchors.select("key", F.col("doc_id").alias("id")).join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    found = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "text", "keys")
+    wanted = anchors.select("key", F.col("doc_id").alias("id"), F.col("text_hash").alias("of_text")).join(shared, "key").groupBy("id", "of_text").agg(F.collect_set("key").alias("keys"))
+    found = docs.join(wanted, (docs["doc_id"] == wanted["id"]) & (docs["text_hash"] == wanted["of_text"])).select("doc_id", "text", "keys", "text_hash")
 
     def send(rows: pa.RecordBatch, texts: list) -> dict:
         w = words(texts)
@@ -203,16 +205,22 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHO
         body = w.hash[ranges(a, size)].astype(np.uint32)
         offsets = np.append(0, np.cumsum(size) * 4).astype(np.int32)
         codes = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-        return {"key": h.view(np.int64), "doc_id": rows.column(0).take(pa.array(w.doc[a])), "at": a - w.bounds[w.doc[a]], "codes": codes}
+        own = pa.array(w.doc[a])
+        return {"key": h.view(np.int64), "doc_id": rows.column(0).take(own), "text_hash": rows.column(3).take(own), "at": a - w.bounds[w.doc[a]], "codes": codes}
 
-    sent = over_texts(found, "text", "key long, doc_id long, at long, codes binary", send)
+    sent = over_texts(found, "text", "key long, doc_id long, text_hash long, at long, codes binary", send)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = whole_partition(batches)
         if held is None:
             return
-        held = held.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("at", "ascending")])
-        key, doc, at = (held.column(c).to_numpy() for c in ("key", "doc_id", "at"))
+        held = held.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text_hash", "ascending"), ("at", "ascending")])
+        key, ident, text, at = (held.column(c).to_numpy() for c in ("key", "doc_id", "text_hash", "at"))
+        o = np.lexsort((text, ident))
+        new = np.append(True, (np.diff(ident[o]) != 0) | (text[o][1:] != text[o][:-1]))
+        doc = np.empty(len(o), np.int64)
+        doc[o] = np.cumsum(new) - 1
+        ident, text = ident[o][new], text[o][new]
         size = pa.compute.binary_length(held.column("codes")).to_numpy() // 4
         edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         total = np.append(0, np.cumsum(size))
@@ -221,20 +229,29 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHO
             j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + INDEX_WORDS, "right")) - 1)
             lo, hi = edge[i], edge[j]
             got = mark(key[lo:hi], doc[lo:hi], at[lo:hi], held.column("codes").slice(lo, hi - lo).to_pylist(), length)
-            yield pa.RecordBatch.from_pydict(got)
+            own, src = got.pop("doc_id"), got.pop("first_doc_id")
+            yield pa.RecordBatch.from_pydict({"doc_id": ident[own], "text_hash": text[own], **got, "first_doc_id": ident[src], "first_text": text[src]})
             i = j
 
-    runs = sent.repartition(parts(docs.sparkSession, amount, 2_000_000), "key").mapInArrow(join, "doc_id long, a long, z long, first_doc_id long").distinct()
-    w = Window.partitionBy("doc_id", "first_doc_id").orderBy("a")
+    runs = sent.repartition(parts(docs.sparkSession, amount, 2_000_000), "key").mapInArrow(join, "doc_id long, text_hash long, a long, z long, first_doc_id long, first_text long").distinct()
+    pair = ["doc_id", "text_hash", "first_doc_id", "first_text"]
+    w = Window.partitionBy(*pair).orderBy("a")
     runs = runs.withColumn("new", F.coalesce((F.col("a") > F.lag("z").over(w) + 1).cast("int"), F.lit(1))).withColumn("k", F.sum("new").over(w))
-    spans = runs.groupBy("doc_id", "first_doc_id", "k").agg(F.min("a").alias("start_word"), (F.max("z") + length).alias("end_word"))
-    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    spans = runs.groupBy(*pair, "k").agg(F.min("a").alias("start_word"), (F.max("z") + length).alias("end_word"))
+    return spans.select("doc_id", "text_hash", "start_word", "end_word", "first_doc_id")
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, first_doc_id) of every marked span; end_word is exclusive."""
+    return _spans(docs, length, anchor).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
 def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """The documents without their marked spans; one that has no word left goes."""
-    spans = repeated_passages(docs, length, anchor).groupBy(F.col("doc_id").alias(owner := fresh(docs, "span_doc"))).agg(F.collect_list(F.struct("start_word", "end_word")).alias(fresh(docs, "spans")))
-    both = docs.join(spans, docs["doc_id"] == spans[owner], "left").drop(owner)
+    owner, of_text = fresh(docs, "span_doc"), fresh(docs, "span_text")
+    spans = _spans(docs, length, anchor).groupBy(F.col("doc_id").alias(owner), F.col("text_hash").alias(of_text))
+    spans = spans.agg(F.collect_list(F.struct("start_word", "end_word")).alias(fresh(docs, "spans")))
+    both = docs.join(spans, (docs["doc_id"] == spans[owner]) & (F.xxhash64(docs["text"]) == spans[of_text]), "left").drop(owner, of_text)
     at, names = both.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,3 +276,14 @@ def test_long_documents_of_one_language_stay_and_edited_copies_go(spark):
     got = dict(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))
     assert len(near) == 20 and all(near.get(i) == k for i, k in got.items())
     assert len(got) >= 0.9 * len(near)
+
+
+def test_rows_that_share_a_doc_id_are_each_worked_on(spark):
+    rng = random.Random(6)
+    text, clean, passage = rand(rng, 80, 10_000), rand(rng, 90, 10_000), rand(rng, 60, 10_000)
+    rows = [(3, text), (5, clean), (5, text.upper()), (5, None)]
+    assert tup(simhash.near_duplicates(docs(spark, rows))) == [(5, 3)]
+    assert sorted(str(r["text"]) for r in simhash.deduplicated(docs(spark, rows)).collect()) == sorted([text, clean, "None"])
+    other = rand(rng, 200, 10_000)
+    got = [r["text"] for r in suffix_dedup.cut(docs(spark, [(1, passage), (2, other), (2, f"{passage} tail")])).collect()]
+    assert sorted(got) == sorted([passage, other, "tail"])
