@@ -1,33 +1,35 @@
-"""Near-duplicate documents: SimHash fingerprints joined by a binary trie.
-
-A document's fingerprint is the 64-bit SimHash of its distinct words; a second
-one, of its distinct word triples, sifts the candidates.  Two documents are
-near copies if the first differs in at most ``BITS`` bits, the second in at
-most ``CONFIRM``, and the Jaccard similarity of their sets of triples (by 64-bit
-hashes; a shorter text is one shingle) is at least ``SHARE``.  Copies are closed
-transitively and the smallest doc_id of a group stays.
-
-The join is exact.  The 64 bits are cut into ``BITS + r`` blocks; of any near
-pair at least r blocks agree, so every choice of r blocks is a table whose
-rows meet where those blocks agree.  Within such a group the fingerprints form
-a binary trie, and node pairs are walked down together, level by level for all
-groups of a partition at once, adding up differing bits and dropping a pair
-once they exceed the budget, or once all its rows are known to be connected.  r grows with the number of distinct word sequences
-so that groups stay small; the result is the same for any r.  The triples of
-each connected group of candidates are then brought to one task, which compares
-the sets of its candidate pairs as long as they are not known to be connected.
+"""Near-duplicate documents: SimHash codes joined by binary tries.
+
+A document has ``POOL`` SimHash bits of its distinct words and 128 of its distinct
+word triples (a text of fewer words is one feature).  Each of ``VIEWS`` binary
+tries orders the documents by a code of 64 of the word bits, drawn once and for
+all.  In a trie, pairs of nodes are walked down together, and differing bits are
+added up against an error budget: none on the first ``PREFIX`` levels, ``BITS``
+below.  A pair that ends within the budget in any trie is a candidate; it is a
+pair of near copies if its triple prints differ in at most ``CONFIRM`` bits, which
+is about a Jaccard similarity of 0.5.  Copies are closed transitively, along
+such pairs only, and the smallest doc_id of a group stays.
+
+As the budget is zero on the first levels, each node at depth ``PREFIX`` is a unit
+of work of its own: a document is sent to as many places as there are tries,
+whatever the size of the corpus, and no near pair is lost between tasks.  A
+pair that is known to be connected already, by pairs that were confirmed, is not
+looked at again, so a task gives a forest and not all pairs.  A node with more
+than ``HOT`` documents is salted: its documents fall into parts, and each pair of
+parts is a task.  That a node is hot is seen from one in ``EVERY`` documents,
+which settles how the work is cut and not what is found.
 
 Defined cases: rows without doc_id or without any word are in no group; rows
 that share a doc_id but not their text are documents of their own, told apart by
 the text's hash, so that a row can be reported with its own doc_id as kept_id;
-rows equal in doc_id and text are one document and share its fate; an empty
-table gives an empty table.
+rows equal in doc_id and text are one document and share its fate; texts of one
+or two words are copies only if their words are equal; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,16 @@ from pyspark.sql import functions as F
 from lexloom.llm._spark import fresh, over_texts, parts, whole_partition, written
 from lexloom.llm._text import U64, Words, mix64, window_hash, words
 
-BITS, CONFIRM, SHARE, GROUP, LEAF = 10, 22, 0.6, 512, 4096
+POOL, VIEWS, PREFIX, BITS, CONFIRM = 256, 48, 24, 10, 34
+HOT, EVERY, LEAF = 500_000, 32, 16
+PRINTS = ("w0", "w1", "w2", "w3", "t0", "t1")
 
 
 def fold(features: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """SimHash of each document's features (``doc`` ascending).
 
-    Sixteen masked adds count four bits each, in 16-bit lanes of one word.
+    Sixteen masked adds count four bits each, in 16-bit lanes of one word.  Where
+    half of the features have a bit, the bit of a hash of them all has the say.
     """
     size = np.bincount(doc, minlength=n_docs)
     start = np.cumsum(size) - size
@@ -60,7 +65,12 @@ def fold(features: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
             got = np.add.reduceat((features >> U64(s)) & lane, at[live])
             for q in range(4):
                 np.add.at(counts[:, s + 16 * q], owner[live], ((got >> U64(16 * q)) & U64(0xFFFF)).astype(np.int64))
-    return ((2 * counts > size[:, None]).astype(U64) << np.arange(64, dtype=U64)).sum(1, dtype=U64)
+    both = np.zeros(n_docs, U64)
+    if len(features):
+        with np.errstate(over="ignore"):
+            np.add.at(both, owner[live], np.add.reduceat(features, at[live]))
+    lean = 2 * counts - size[:, None] + ((mix64(both)[:, None] >> np.arange(64, dtype=U64)) & U64(1)).astype(np.int64)
+    return ((lean > 0).astype(U64) << np.arange(64, dtype=U64)).sum(1, dtype=U64)
 
 
 def _grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +88,21 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], doc[new]
 
 
-def _prints(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def _prints(w: Words) -> np.ndarray:
+    """The prints of every text, one row each: four words of word bits, two of triple bits."""
     n = len(w.bounds) - 1
-    return fold(*_distinct(w.hash, w.doc), n), fold(*_distinct(*_grams(w, 3)), n)
+    single, of = _distinct(w.hash, w.doc)
+    triple, by = _distinct(*_grams(w, 3))
+    few = np.setdiff1d(np.arange(n), by)
+    at = np.searchsorted(by, few)
+    triple, by = np.insert(triple, at, sequence_hash(w)[few]), np.insert(by, at, few)
+    with np.errstate(over="ignore"):
+        cols = [fold(mix64(single + U64(k)), of, n) for k in range(4)] + [fold(mix64(triple + U64(k)), by, n) for k in range(2)]
+    return np.stack(cols, 1)
 
 
-def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, distinct triples, number of words) of every text."""
-    w = words(texts)
-    return *_prints(w), np.diff(w.bounds)
+def fingerprints(texts: list[str | None]) -> np.ndarray:
+    return _prints(words(texts))
 
 
 def sequence_hash(w: Words) -> np.ndarray:
@@ -98,35 +114,22 @@ def sequence_hash(w: Words) -> np.ndarray:
     return mix64(out ^ mix64(np.diff(w.bounds).astype(U64)))
 
 
-def shingles(w: Words) -> list[np.ndarray]:
-    """The distinct triples of each text, sorted; those of fewer words are one shingle."""
-    h, doc = _distinct(*_grams(w, 3))
-    edge = np.searchsorted(doc, np.arange(len(w.bounds)))
-    whole = sequence_hash(w)
-    return [h[a:z] if z > a else whole[d : d + 1] for d, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))]
-
+def orders() -> np.ndarray:
+    """The bits of each view's code, most significant first."""
+    return np.stack([np.random.default_rng(1000 + v).permutation(POOL)[:64] for v in range(VIEWS)])
 
-def alike(a: np.ndarray, b: np.ndarray, share: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least ``share``."""
-    if min(len(a), len(b)) < share * max(len(a), len(b)):
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common >= share * (len(both) - common)
 
+def codes(prints: np.ndarray) -> Iterator[np.ndarray]:
+    """Each view's codes of documents with word bits ``prints`` (n x 4)."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    columns = np.ascontiguousarray(bits.T)
+    for order in orders():
+        yield np.packbits(columns[order], axis=0).T.copy().view(">u8")[:, 0].astype(U64)
 
-def masks(bits: int, r: int) -> list[np.uint64]:
-    """The tables: for each choice of r of the ``bits + r`` blocks, the bits that must agree."""
-    edge = np.linspace(0, 64, bits + r + 1).round().astype(int)
-    block = [sum(1 << b for b in range(a, z)) for a, z in zip(edge, edge[1:])]
-    return [U64(sum(c)) for c in combinations(block, r)]
 
-
-def blocks_for(n: int, bits: int, group: int = GROUP) -> int:
-    r = 1
-    while r < 8 and n / 2 ** (64 * r / (bits + r)) > group:
-        r += 1
-    return r
+def apart(t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of the triple prints of rows i and j."""
+    return np.bitwise_count(t[i] ^ t[j]).sum(1, dtype=np.int64)
 
 
 class Trees:
@@ -156,7 +159,7 @@ class Trees:
             self.turn += 1
 
 
-def neighbours(fp: np.ndarray, group: np.ndarray, budget: int, turns: int = 8, reach: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbours(fp: np.ndarray, group: np.ndarray, budget: int, turns: int = 4, reach: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Some of the pairs within ``budget``: rows that are close in the order of their bits, rotated ``turns`` ways."""
     for k in range(turns):
         by = U64(k * 64 // turns)
@@ -181,7 +184,7 @@ def _row_pairs(alo: np.ndarray, n: np.ndarray, blo: np.ndarray, m: np.ndarray, m
         at = end
 
 
-def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000, trees: Trees | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000, trees: Trees | None = None, top: int = 63) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All i < j (after sorting) of one group within ``budget`` differing bits, a run at a time.
 
     A trie node is a range of the sorted rows that agree on the bits so far.
@@ -190,7 +193,9 @@ def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000
     runs of at most ``most`` node pairs and hand their pairs on as they find
     them, so memory depends neither on the number of pairs nor on that of nodes.
     With ``trees``, node pairs whose rows are all known to be of one component
-    are left out: what they hold joins nothing.
+    are left out: what they hold joins nothing.  The rows of a group agree on
+    the bits above ``top``.  Below nodes that are single rows, or nearly, there
+    is nothing to share: their rows are compared as wholes.
     """
     order = np.lexsort((fp, group)).astype(np.int32)
     f, g = fp[order], group[order]
@@ -199,7 +204,7 @@ def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000
     roots = (hi - lo) > 1
     ones: dict[int, np.ndarray] = {}
     turn, tree, change = -1, order, order
-    stack = [(63, lo[roots], hi[roots], lo[roots], hi[roots], np.full(int(roots.sum()), budget, np.int8))]
+    stack = [(top, lo[roots], hi[roots], lo[roots], hi[roots], np.full(int(roots.sum()), budget, np.int8))]
     while stack:
         bit, alo, ahi, blo, bhi, left = stack.pop()
         if len(alo) > most:
@@ -211,7 +216,6 @@ def trie_walk(fp: np.ndarray, group: np.ndarray, budget: int, most: int = 50_000
                 change = np.append(0, np.cumsum(tree[1:] != tree[:-1]))
             ok = (tree[alo] != tree[blo]) | (change[ahi - 1] != change[alo]) | (change[bhi - 1] != change[blo])
             alo, ahi, blo, bhi, left = (x[ok] for x in (alo, ahi, blo, bhi, left))
-        # small nodes, and equal rows, are compared row by row
         n, m = (ahi - alo).astype(np.int64), (bhi - blo).astype(np.int64)
         leaf = n * m <= LEAF if bit >= 0 else np.ones(len(n), bool)
         if leaf.any():
@@ -262,43 +266,70 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def near_pairs(prints: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None) -> DataFrame:
-    """Edges (src, dst) that connect the candidates among rows (id, fp, fp3): a spanning forest for each task, not all pairs."""
-    spark = prints.sparkSession
-    n = prints.count()
-    r = blocks or blocks_for(n, bits)
-    tables = masks(bits, r)
+def near_pairs(nodes: DataFrame, bits: int = BITS, confirm: int = CONFIRM, hot: int = HOT, every: int = EVERY) -> DataFrame:
+    """Edges (src, dst) among rows (id, prints): of each task a forest that spans its near pairs."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+    nodes = nodes.select("id", *PRINTS)
+
+    def keys(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for v, code in enumerate(codes(np.stack([rows.column(k).to_numpy().view(U64) for k in range(1, 5)], 1))):
+            yield code, (code >> U64(64 - PREFIX)).astype(np.int64) | v << PREFIX
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for _, key in keys(rows):
+                k, c = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
+
+    heavy: dict[int, int] = {}
+    if n > hot:  # else no node can be hot; at most VIEWS * n / hot of them are
+        some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInArrow(tally, "key long, n long")
+        some = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * every > hot)
+        heavy = {r[0]: -(-2 * r[1] * every // hot) for r in some.collect()}
+    held = spark.sparkContext.broadcast((np.array(sorted(heavy), np.int64), np.array([heavy[k] for k in sorted(heavy)], np.int64)))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, salts = held.value
         for rows in batches:
-            fp = np.asarray(rows.column(1)).view(U64)
-            for t, m in enumerate(tables):
-                key = (fp & m) * U64(0x9E3779B97F4A7C15) + U64(t)
-                yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> U64(29))).view(np.int64)), pa.array(np.full(len(fp), t, np.int16)), *rows.columns], ["key", "t", "id", "fp", "fp3"])
+            ident = rows.column(0).to_numpy()
+            for code, key in keys(rows):
+                row, part = np.arange(len(key)), np.zeros(len(key), np.int64)
+                if len(of):
+                    k = np.minimum(np.searchsorted(of, key), len(of) - 1)
+                    times = np.where(of[k] == key, salts[k], 1)
+                    row = np.repeat(row, times)
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                    own = (mix64(ident.view(U64)) % times.astype(U64)).astype(np.int64)[row]
+                    part = np.minimum(own, nth) * times[row] + np.maximum(own, nth)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(part), pa.array(code[row].view(np.int64)), *(rows.column(c).take(take) for c in (0, 5, 6))], ["key", "part", "code", "id", "t0", "t1"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = whole_partition(batches)
         if held is None:
             return
-        t, ident, fp, fp3 = (held.column(c).to_numpy() for c in ("t", "id", "fp", "fp3"))
-        fp, fp3 = fp.view(U64), fp3.view(U64)
-        agree = fp & np.array(tables, U64)[t]
-        o = np.lexsort((agree, t))
-        group = np.zeros(len(o), np.int64)
-        group[o] = np.cumsum(np.append(True, (agree[o][1:] != agree[o][:-1]) | (t[o][1:] != t[o][:-1])))
-        ids, code = np.unique(ident, return_inverse=True)
+        key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
+        o = np.lexsort((part, key))
+        group = np.empty(len(o), np.int64)
+        group[o] = np.cumsum(np.append(True, (np.diff(key[o]) != 0) | (np.diff(part[o]) != 0))) - 1
+        shared = np.flatnonzero(np.bincount(group)[group] > 1)  # a document alone at its node has no pair
+        if not len(shared):
+            return
+        held, group = held.take(pa.array(shared)), group[shared]
+        fp, t = held.column("code").to_numpy().view(U64), np.stack([held.column(c).to_numpy().view(U64) for c in ("t0", "t1")], 1)
+        ids, code = np.unique(held.column("id").to_numpy(), return_inverse=True)
         trees = Trees(code, len(ids))
         for first in (True, False):  # cheap pairs first, which spare the walk most of the rest
-            for i, j in neighbours(fp, group, bits) if first else trie_walk(fp, group, bits, trees=trees):
-                ok = np.bitwise_count(fp3[i] ^ fp3[j]) <= confirm
+            for i, j in neighbours(fp, group, bits) if first else trie_walk(fp, group, bits, trees=trees, top=63 - PREFIX):
+                ok = apart(t, i, j) <= confirm
                 trees.join(i[ok], j[ok])
             trees.settle()
-        root = trees.root
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
+        moved = np.flatnonzero(trees.root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[trees.root[moved]])], ["src", "dst"])
 
-    wide = prints.select("id", "fp", "fp3").mapInArrow(expand, "key long, t short, id long, fp long, fp3 long")
-    return wide.repartition(parts(spark, n * len(tables), 1_000_000), "key").mapInArrow(join, "src long, dst long").distinct()
+    wide = nodes.mapInArrow(expand, "key long, part long, code long, id long, t0 long, t1 long")
+    return wide.repartition(parts(spark, n * VIEWS, 1_000_000), "key", "part").mapInArrow(join, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,72 +357,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
 
 
-def confirmed(sets: DataFrame, bits: int, confirm: int, share: float) -> DataFrame:
-    """(id, root): the groups of near copies, by comparing shingles, among rows (group, id, fp, fp3, shingles) of candidates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = whole_partition(batches)
-        if held is None:
-            return
-        ids, first = np.unique(held.column("id").to_numpy(), return_index=True)  # a row that repeats counts once
-        held = held.take(pa.array(first))
-        _, group = np.unique(held.column("group").to_numpy(), return_inverse=True)
-        fp, fp3 = (held.column(c).to_numpy().view(U64) for c in ("fp", "fp3"))
-        of = [np.frombuffer(x.as_buffer(), U64) for x in held.column("shingles")]
-        up = list(range(len(ids)))
-
-        def top(k: int) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
-
-        trees = Trees(np.arange(len(ids)), len(ids))
-        for near in (True, False):
-            for i, j in neighbours(fp, group, bits) if near else trie_walk(fp, group, bits, trees=trees):
-                ok = np.flatnonzero((np.bitwise_count(fp3[i] ^ fp3[j]) <= confirm) & (trees.of(i) != trees.of(j)))
-                same = []
-                for k, a, b in zip(ok.tolist(), i[ok].tolist(), j[ok].tolist()):
-                    x, y = top(a), top(b)
-                    if x != y and alike(of[a], of[b], share):
-                        up[max(x, y)] = min(x, y)
-                        same.append(k)
-                trees.join(i[same], j[same])
-                trees.settle()
-        moved = np.flatnonzero(trees.root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[trees.root[moved]])], ["id", "root"])
-
-    amount = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    return sets.repartition(parts(sets.sparkSession, amount, 64_000_000), "group").mapInArrow(run, "id long, root long")
-
-
 def prints_of(docs: DataFrame) -> DataFrame:
     def fn(rows: pa.RecordBatch, texts: list) -> dict:
         w = words(texts)
         ok = pa.array(np.diff(w.bounds) > 0)
-        own = zip(("fp", "fp3", "id"), (*_prints(w), sequence_hash(w)))
-        return {"doc_id": rows.column(0).filter(ok), "text_hash": rows.column(2).filter(ok), **{c: pa.array(v.view(np.int64)).filter(ok) for c, v in own}}
+        own = zip((*PRINTS, "id"), (*_prints(w).T, sequence_hash(w)))
+        return {"doc_id": rows.column(0).filter(ok), "text_hash": rows.column(2).filter(ok), **{c: pa.array(np.ascontiguousarray(v).view(np.int64)).filter(ok) for c, v in own}}
 
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return over_texts(docs, "text", "doc_id long, text_hash long, fp long, fp3 long, id long", fn)
+    return over_texts(docs, "text", f"doc_id long, text_hash long, {', '.join(f'{c} long' for c in PRINTS)}, id long", fn)
 
 
-def _gone(docs: DataFrame, bits: int = BITS, confirm: int = CONFIRM, blocks: int | None = None, share: float = SHARE) -> DataFrame:
+def _gone(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, text_hash, kept_id) of every document that is a near copy of one that stays."""
-    prints = written(prints_of(docs).dropDuplicates(["doc_id", "text_hash"]), "prints")
-    # equal word sequences are one node, so that copies by the thousand cost one row
-    nodes = prints.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", "fp", "fp3")).alias("p")).select("id", "p.*")
-    nodes = written(nodes, "nodes")
-    groups = written(components(near_pairs(nodes, bits, confirm, blocks)), "groups").select("id", F.col("root").alias("group"))
-    groups = groups.unionAll(groups.select(F.col("group").alias("id"), "group").distinct())
-    asked = nodes.join(groups, "id").select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "group", "id", "fp", "fp3")
-    texts = docs.select("doc_id", "text").join(asked, (F.col("doc_id") == F.col("of_doc")) & (F.xxhash64("text") == F.col("of_text")))
-
-    def fn(rows: pa.RecordBatch, texts: list) -> dict:
-        return {**{c: rows.column(k) for k, c in enumerate(("group", "id", "fp", "fp3"), 1)}, "shingles": [x.tobytes() for x in shingles(words(texts))]}
-
-    sets = written(over_texts(texts.select("text", "group", "id", "fp", "fp3"), "text", "group long, id long, fp long, fp3 long, shingles binary", fn), "shingles")
-    roots = written(confirmed(sets, bits, confirm, share), "roots")
+    prints = written(prints_of(docs), "prints")
+    # equal word sequences have equal prints and are one node, so that copies by the thousand cost one row
+    nodes = prints.groupBy("id").agg(*(F.min(c).alias(c) for c in PRINTS))
+    roots = components(near_pairs(written(nodes, "nodes"), **kw))
     named = prints.join(roots, "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    named = written(named, "named")
     kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n")).where("n > 1")
     return named.join(kept, "root").where(F.struct("doc_id", "text_hash") != F.col("k")).select("doc_id", "text_hash", F.col("k.doc_id").alias("kept_id"))
 
@@ -408,4 +392,4 @@ def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     return docs.join(gone, (docs["doc_id"] == gone[owner]) & (F.xxhash64(docs["text"]) == gone[of_text]), "left_anti")
 
 
-__all__ = ["components", "deduplicated", "fingerprints", "near_duplicates", "near_pairs", "trie_join"]
+__all__ = ["codes", "components", "deduplicated", "fingerprints", "near_duplicates", "near_pairs", "trie_join"]

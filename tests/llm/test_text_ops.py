@@ -215,8 +215,8 @@ def brute_groups(ids, ok):
     return {(i, top(i)) for i in ids if top(i) != i}
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 2, 3])
-def test_near_duplicates_match_brute_force(spark, blocks):
+@pytest.mark.parametrize("hot", [simhash.HOT, 4])
+def test_near_duplicates_match_brute_force(spark, hot):
     rng = random.Random(4)
     rows = []
     for k in range(12):
@@ -228,16 +228,44 @@ def test_near_duplicates_match_brute_force(spark, blocks):
             rows.append((100 - len(rows), " ".join(v)))
     clean = len(rows)
     rows += [(200, None), (201, ""), (202, "!!"), (None, rows[0][1])]
-    fp, fp3, _ = simhash.fingerprints([t for _, t in rows[:clean]])
+    prints = simhash.fingerprints([t for _, t in rows[:clean]])
+    views = list(simhash.codes(prints[:, :4]))
     at = {i: k for k, (i, _) in enumerate(rows[:clean])}
-    near = lambda a, b: int(fp[at[a]] ^ fp[at[b]]).bit_count() <= simhash.BITS and int(fp3[at[a]] ^ fp3[at[b]]).bit_count() <= simhash.CONFIRM
+
+    def near(a, b):
+        a, b = at[a], at[b]
+        differ = [int(v[a] ^ v[b]) for v in views]
+        found = any(d >> (64 - simhash.PREFIX) == 0 and d.bit_count() <= simhash.BITS for d in differ)
+        return found and sum(int(x).bit_count() for x in prints[a, 4:] ^ prints[b, 4:]) <= simhash.CONFIRM
+
     want = brute_groups(list(at), near)
     assert want
-    assert {tuple(r) for r in simhash.near_duplicates(docs(spark, rows), blocks=blocks).collect()} == want
+    assert {tuple(r) for r in simhash.near_duplicates(docs(spark, rows), hot=hot, every=1).collect()} == want
     left = simhash.deduplicated(clashing(spark, rows)).collect()
     assert sorted(str(r["doc_id"]) for r in left) == sorted(str(i) for i, _ in rows if i not in dict(want))
 
 
+def test_codes_are_the_bits_of_their_view():
+    prints = simhash.fingerprints(["a few words of text", "other words altogether in this one"])
+    bits = [[int(prints[d, b // 64]) >> (b % 64) & 1 for b in range(simhash.POOL)] for d in range(2)]
+    for order, code in zip(simhash.orders(), simhash.codes(prints[:, :4])):
+        for d in range(2):
+            assert int(code[d]) == sum(bits[d][b] << (63 - k) for k, b in enumerate(order.tolist()))
+
+
+def test_nothing_goes_from_unrelated_long_texts_of_one_language(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(4000)]
+    share = [1 / (k + 1) for k in range(4000)]
+    rows = [(i, " ".join(rng.choices(vocab, share, k=rng.randrange(300, 3000)))) for i in range(520)]
+    assert simhash.near_duplicates(docs(spark, rows)).count() == 0
+
+
+def test_short_texts_are_copies_only_if_equal(spark):
+    rows = [(1, "one"), (2, "One!"), (3, "two"), (4, "one two"), (5, "two one"), (6, "one, two"), (7, "one two three four"), (8, "one two three five")]
+    assert tup(simhash.near_duplicates(docs(spark, rows))) == [(2, 1), (6, 4)]
+
+
 def test_copies_ties_and_empty_tables(spark):
     text = rand(random.Random(0), 80)
     rows = [(5, text), (3, text), (3, text), (9, text.upper() + "!"), (7, "something else altogether")]
@@ -254,8 +282,9 @@ def test_components_of_a_long_chain(spark):
 def test_long_documents_fold_in_pieces():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 130_000, dtype=np.uint64)
-    want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
-    assert int(simhash.fold(h, np.zeros(len(h), np.int64), 1)[0]) == want
+    ones = [2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+    got = int(simhash.fold(h, np.zeros(len(h), np.int64), 1)[0])
+    assert all((got >> b & 1) == (n > len(h)) for b, n in enumerate(ones) if n != len(h))
 
 
 def test_long_documents_of_one_language_stay_and_edited_copies_go(spark):
