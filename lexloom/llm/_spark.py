@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,11 +20,13 @@ from lexloom.llm._text import slices
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; only in local mode a temporary one where that is unset."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not held:
         held = spark.conf.get("lexloom.scratch.dir", None)
         if not held:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             held = tempfile.mkdtemp(prefix="lexloom-")
             atexit.register(shutil.rmtree, held, ignore_errors=True)
             spark.conf.set("lexloom.scratch.dir", held)
@@ -35,8 +38,11 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 
 def local_path(path: str) -> str:
-    """A shared folder's path as the operating system names it (for memory maps)."""
-    return path[5:] if path.startswith("file:") and not path.startswith("file://") else path.removeprefix("file://")
+    """A shared folder's path as the operating system names it (for memory maps); one that isn't mounted is an error."""
+    path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if not path.startswith("/"):
+        raise ValueError(f"memory-mapped files need a folder that is mounted on every executor, not {path!r}")
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text's UTF-8 bytes are cut into windows of ``WINDOW``; in each, one gated
+A text's UTF-8 bytes are cut into windows; in each, one gated
 recurrent network reads forwards and one backwards, and a linear layer on both
 states gives a distribution over languages at every byte.  A document's
 probabilities are the mean over all its bytes.  The network is written and
 trained in numpy: cross-entropy at every position, gradients by
 backpropagation through time, Adam.
 
-The training sample is bounded by ``TRAIN_DOCS`` labelled documents, those
-with the smallest hash of doc_id, and ``TRAIN_WINDOWS`` windows of each, spread evenly
-over its text; the scoring reads every byte of every document.
+The training sample is bounded by ``TRAIN_DOCS`` labelled documents, an equal
+number of each language, those with the smallest hash of doc_id; they are read
+whole, in windows of ``WINDOW`` bytes.  The scoring reads every byte of every
+document, in windows of ``SCORED``.
 
 Defined cases: a null or empty text has a null language, probability and share; with no
 labelled document there is no model and every language is null; with one
@@ -21,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm._spark import over_texts
 
-WINDOW, HIDDEN, TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, PAD = 128, 8, 1200, 3, 8, 96, 256
+WINDOW, SCORED, HIDDEN, TRAIN_DOCS, EPOCHS, BATCH, PAD = 128, 512, 8, 600, 2, 96, 256
 
 
 def windows(raw: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,34 +169,37 @@ class Network:
 
 
 def sample(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """The training sample's (text, lang): a documented bound, whatever the corpus's size."""
-    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and text <> ''")
-    return [(r[0], r[1]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(n_docs).select("text", "lang").collect()]
-
-
-def trained(pairs: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = EPOCHS, each: int = TRAIN_WINDOWS) -> tuple[list[str], Network] | None:
-    """(languages, network) from labelled texts."""
+    """The training sample's (text, lang): a documented bound on labelled rows, whatever the corpus's size.
+
+    The rows are chosen by hashes alone; only texts of chosen rows leave their tasks.
+    """
+    known = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    keys = known.groupBy("lang", "doc_id", "h").agg(F.lit(1).alias("one"))
+    n_lang = keys.select("lang").distinct().count()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    top = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-n_docs // max(n_lang, 1))).select("lang", "doc_id", "h").collect()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in top], "of_lang string, of_doc long, of_text long"))
+    met = known.join(chosen, (F.col("lang") == F.col("of_lang")) & F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_text")))
+    rows = met.groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "h", "lang").collect()
+    return [(r["text"], r["lang"]) for r in rows]
+
+
+def trained(pairs: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = EPOCHS) -> tuple[list[str], Network] | None:
+    """(languages, network) from labelled texts, all their bytes."""
     names = sorted({lang for _, lang in pairs})
     if not names:
         return None
     net = Network(len(names), hidden)
-    raw, y = [], []
-    for text, lang in pairs:
-        b = text.encode("utf-8", "surrogatepass")
-        for k in range(min(each, -(-len(b) // WINDOW))):
-            at = (len(b) * k // each) if len(b) > each * WINDOW else k * WINDOW
-            raw.append(b[at : at + WINDOW])
-            y.append(names.index(lang))
     if len(names) > 1:
-        x, length, _ = windows(raw)
-        net.train(x, length, np.array(y), epochs)
+        x, length, doc = windows([text.encode("utf-8", "surrogatepass") for text, _ in pairs])
+        net.train(x, length, np.array([names.index(lang) for _, lang in pairs])[doc], epochs)
     return names, net
 
 
 def pooled(net: Network, texts: list[str | None], block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean probabilities, share of positions labelled as the document, bytes) of every text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    x, length, doc = windows(raw)
+    x, length, doc = windows(raw, min(SCORED, max(map(len, raw), default=1) or 1))
     n_labels = len(net.p["b"])
     total, votes = np.zeros((len(raw), n_labels)), np.zeros((len(raw), n_labels))
     for a in range(0, len(doc), block):

@@ -7,8 +7,9 @@ window are enumerated, non-negative least squares finds how often each should
 repeat to use up the histogram, the repeats are rounded down, and what is left
 is packed greedily, longest first, into the window with least room.
 
-Groups are hashes of doc_id, as many as keep each at about ``GROUP`` documents,
-so each is solved by itself and nothing is gathered.
+Groups are hashes of doc_id, text and place in the input, as many as keep each at
+about ``GROUP`` documents, so each is solved by itself and nothing is gathered,
+even where one doc_id, or none, is on many rows.
 
 Defined cases: a document without tokens (null or empty text) takes no place; rows
 with a null or repeated doc_id are packed each for itself; equal lengths are
@@ -38,7 +39,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, active = np.zeros(n), np.zeros(n, bool)
     ata, atb = a.T @ a, a.T @ b
     tol = 1e-9 * max(1.0, np.abs(atb).max(initial=0.0))
-    for _ in range(3 * n):
+    for _ in range(30 * n + 30):
         grad = np.where(active, -np.inf, atb - ata @ x)
         k = int(np.argmax(grad))
         if grad[k] <= tol:
@@ -57,6 +58,8 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             active[active & (x <= 1e-12)] = False
             x[~active] = 0
         x = s
+    else:
+        raise ArithmeticError("the least squares did not settle")
     return x
 
 
@@ -115,10 +118,10 @@ def packed(docs: DataFrame, window: int = WINDOW, bins: int = BINS, depth: int =
     n_groups = max(1, -(-docs.count() // group))
 
     def count(rows: pa.RecordBatch, texts: list) -> dict:
-        return {"doc_id": rows.column(0), "n": chunks(tokenizer).counts(texts)}
+        return {"doc_id": rows.column(0), "n": chunks(tokenizer).counts(texts), "h": rows.column(2)}
 
-    sizes = over_texts(docs.select("doc_id", "text"), "text", "doc_id long, n long", count).where("n > 0")
-    sizes = sizes.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
+    sizes = over_texts(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")), "text", "doc_id long, n long, h long", count).where("n > 0")
+    sizes = sizes.select("doc_id", "n", F.pmod(F.xxhash64("h", F.spark_partition_id()), F.lit(n_groups)).alias("g"))
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("n", "ascending")])

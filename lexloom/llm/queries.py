@@ -34,7 +34,7 @@ def op5_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filtered(_table(spark, sf_dir, "pages"))
+    return url_filter.filtered(_table(spark, sf_dir, "pages"), url_filter.block_list(spark))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

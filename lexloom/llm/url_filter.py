@@ -9,26 +9,29 @@ vectorised binary search, and a hit counts only if the stored string is equal.
 
 Defined cases: a null, empty or hostless URL is not blocked; scheme, user, port,
 fragment, letter case of the host and a leading "www." make no difference;
-null and empty entries are left out and repeated ones count once; of several
+null and empty entries are left out and repeated ones count once; a file of the
+array that is gone is an error, never an empty list; of several
 entries that match, the longest is named; rows are judged each for itself, and an empty
 table or an empty list gives what one expects.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm import _eliasfano as ef
 from lexloom.llm._spark import local_path, over_texts, scratch_path
 
-BLOCKED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.com", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
-PER_FILE = 2_000_000
+#: The registered query's list: these hosts, HOSTS more that are made up, and as many paths of one host.
+BLOCKED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.com", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org", "ads-track.example.org", "adult-x.example.net", "casino-win.example.com", "casino-win.example.org", "free-bets.example.com", "spam-farm.example.com")
+HOSTS, PREFIX = 600_000, "thther.example.org/en/"
+PER_FILE = 500_000
 
 
 def split(url: str | None) -> tuple[str, str]:
@@ -67,17 +70,16 @@ def probes(url: str | None) -> list[str]:
 class DigestArray:
     """The entries' files: digests ascending, and the strings they stand for."""
 
-    def __init__(self, path: str, bits: int) -> None:
-        self.path, self.bits = path, bits
+    def __init__(self, path: str, bits: int, parts: set[int]) -> None:
+        self.path, self.bits, self.parts = path, bits, parts
         self._open: dict[int, list[np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "bits": self.bits, "_open": {}}
+        return {"path": self.path, "bits": self.bits, "parts": self.parts, "_open": {}}
 
     def part(self, k: int) -> list[np.ndarray]:
         if k not in self._open:
-            name = f"{self.path}/urls-{k}"
-            self._open[k] = ef.load(name) if os.path.exists(name) else [np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)]
+            self._open[k] = ef.load(f"{self.path}/urls-{k}") if k in self.parts else [np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)]
         return self._open[k]
 
     def contains(self, asked: list[str]) -> np.ndarray:
@@ -115,7 +117,7 @@ def digest_array(spark: SparkSession, entries: DataFrame | Iterable[str]) -> Dig
     path = local_path(scratch_path(spark, "urls"))
     if not isinstance(entries, DataFrame):
         write_part(path, 0, sorted({e for e in map(entry, entries) if e}))
-        return DigestArray(path, 0)
+        return DigestArray(path, 0, {0})
     entries = entries.toDF("entry", *(f"c{i}" for i in range(1, len(entries.columns)))).select("entry")
     bits = max(0, (entries.count() // PER_FILE).bit_length())
 
@@ -128,8 +130,17 @@ def digest_array(spark: SparkSession, entries: DataFrame | Iterable[str]) -> Dig
         write_part(path, k, sorted(set(t.column("entry").to_pylist())))
         return pa.table({"k": pa.array([k], pa.int64())})
 
-    over_texts(entries, "entry", "k long, entry string", digest).groupBy("k").applyInArrow(save, "k long").count()
-    return DigestArray(path, bits)
+    made = over_texts(entries, "entry", "k long, entry string", digest).distinct().groupBy("k").applyInArrow(save, "k long").collect()
+    return DigestArray(path, bits, {r[0] for r in made})
+
+
+def block_list(spark: SparkSession) -> DataFrame:
+    """The registered query's list of hosts and paths, as a table."""
+    made = [F.concat(F.lit("site"), "id", F.lit(".blocked.example")), F.concat(F.lit(PREFIX), "id")]
+    found = spark.createDataFrame([(b,) for b in BLOCKED], "entry string")
+    for m in made:
+        found = found.unionAll(spark.range(HOSTS).select(m.alias("entry")))
+    return found
 
 
 def filtered(pages: DataFrame, entries: DataFrame | Iterable[str] = BLOCKED) -> DataFrame:
@@ -149,11 +160,13 @@ def filtered(pages: DataFrame, entries: DataFrame | Iterable[str] = BLOCKED) ->
 
 
 def oracle() -> str:
-    """The query over ``pages`` in SQL, for a list of hosts."""
+    """The registered query in SQL: a URL's host and its parents, and its paths, are looked up among the entries."""
     rows = ", ".join(f"('{e}')" for e in BLOCKED)
     return f"""
-WITH b(e) AS (VALUES {rows}),
-p AS (SELECT page_id, url, regexp_replace(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '^www[.]', '') AS h FROM pages),
-m AS (SELECT page_id, url, e, row_number() OVER (PARTITION BY page_id, url ORDER BY length(e) DESC NULLS LAST) AS r
-      FROM p LEFT JOIN b ON h = e OR h LIKE '%.' || e)
-SELECT page_id, url, e IS NOT NULL AS blocked, e AS entry FROM m WHERE r = 1"""
+WITH b AS (SELECT * FROM (VALUES {rows}) v(e) UNION ALL SELECT 'site' || i || '.blocked.example' FROM range({HOSTS}) r(i) UNION ALL SELECT '{PREFIX}' || i FROM range({HOSTS}) r(i)),
+p AS (SELECT page_id, url, regexp_replace(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '^www[.]', '') AS h,
+      regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://[^/?]+(.*)$', 1) AS path FROM pages),
+asked AS (SELECT page_id, url, array_to_string(string_split(h, '.')[i:], '.') AS q FROM (SELECT *, unnest(range(1, len(string_split(h, '.')) + 1)) AS i FROM p)
+      UNION ALL SELECT page_id, url, h || rtrim(path[1:i], '/') FROM (SELECT *, unnest(range(1, length(path) + 1)) AS i FROM p) WHERE i = length(path) OR path[i + 1] IN ('/', '?')),
+m AS (SELECT page_id, url, max_by(e, length(e)) AS entry FROM asked JOIN b ON q = e GROUP BY page_id, url)
+SELECT page_id, url, entry IS NOT NULL AS blocked, entry FROM p LEFT JOIN m USING (page_id, url)"""

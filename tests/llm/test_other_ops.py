@@ -157,12 +157,74 @@ def test_urls(spark):
 def test_digests_that_collide_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 7)
     url_filter.write_part(str(tmp_path), 0, ["a.org", "b.org"])
-    assert url_filter.DigestArray(str(tmp_path), 0).contains(["b.org", "c.org", "a.org"]).tolist() == [True, False, True]
+    assert url_filter.DigestArray(str(tmp_path), 0, {0}).contains(["b.org", "c.org", "a.org"]).tolist() == [True, False, True]
+
+
+def test_a_part_that_is_gone_is_an_error(spark, tmp_path):
+    url_filter.write_part(str(tmp_path), 0, ["a.org"])
+    held = url_filter.DigestArray(str(tmp_path), 0, {0})
+    (tmp_path / "urls-0").unlink()
+    with pytest.raises(FileNotFoundError):
+        held.contains(["a.org"])
+
+
+def test_a_very_long_url_and_a_list_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PER_FILE", 40)
+    entries = spark.range(300).selectExpr("concat('h', id, '.org/p') as entry", "id")
+    long = "http://h7.org/p/" + "x/" * 3000
+    pages = spark.createDataFrame([(1, long), (2, "http://h8.org/q"), (3, "https://h299.org/p?z")], "page_id long, url string")
+    got = {r["page_id"]: r["entry"] for r in url_filter.filtered(pages, entries).collect()}
+    assert got == {1: "h7.org/p", 2: None, 3: "h299.org/p"}
+
+
+def test_shared_folders(spark):
+    from lexloom.llm import _spark
+
+    assert _spark.local_path("file:/a/b") == _spark.local_path("file:///a/b") == _spark.local_path("/a/b") == "/a/b"
+    for path in ("hdfs://x/a", "s3a://x/a", "a/b"):
+        with pytest.raises(ValueError):
+            _spark.local_path(path)
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Cluster(), {}
+
+    with pytest.raises(RuntimeError):
+        _spark.shared_dir(Session())
 
 
 # packing
 
 
+def fewest(sizes, room):
+    """The least number of packs, over all subsets."""
+    full = (1 << len(sizes)) - 1
+    best = {0: (0, room)}
+    for m in range(1, full + 1):
+        each = []
+        for k, n in enumerate(sizes):
+            if m >> k & 1:
+                packs, used = best[m ^ (1 << k)]
+                each.append((packs, used + n) if used + n <= room else (packs + 1, n))
+        best[m] = min(each)
+    return best[full][0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packs_against_the_fewest_possible(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(25):
+        sizes = rng.integers(1, 65, rng.integers(1, 10))
+        used = len(np.unique(packing.pack(sizes, 64, 16, 3)))
+        best = fewest(sizes.tolist(), 64)
+        assert best <= used <= best + 1
+
+
 def test_nnls_against_its_conditions():
     rng = np.random.default_rng(3)
     for _ in range(20):
