@@ -6,14 +6,20 @@ stays and every other is marked; runs of marked windows whose first occurrence
 lies in the same document are one span.
 
 Work is routed by minimizer.  The window's smallest ``ANCHOR``-word hash picks
-its group, neighbouring windows with one anchor travel together, and anchors
+its group, neighbouring windows with one anchor travel together as a piece, and anchors
 that occur once anywhere are dropped before any text moves; equal windows have
-equal anchors, so no repeat is missed.  Every task indexes the distinct pieces
-of its groups: suffix array, Burrows-Wheeler transform in runs, suffix-array
-samples at both ends of each run.  All pieces are then streamed backwards
-through the index for their matching statistics; positions that match
-``LENGTH`` words or more fall into classes of equal windows, between ranks
-whose common prefix is shorter.
+equal anchors, so no repeat is missed.  A task indexes the first piece of each of
+its groups: a Burrows-Wheeler transform in runs, with suffix-array samples at both
+ends of each run.  The other pieces are streamed backwards through the index
+for their matching statistics: a position that matches ``LENGTH`` words or more is
+a window that the indexed piece has, earlier than any other.  What does not match is
+indexed and streamed in the same way, in ``ROUNDS`` rounds, and what is left of
+groups with more variants than that is indexed as a whole.  The index itself
+keeps, beside the runs, only the windows that it has more than once.
+
+A group of over ``HOT_WORDS`` words (a licence line in millions of documents) is
+not brought to one task: its windows meet by two hashes of all their words, in
+aggregations that Spark combines before the shuffle and may split.
 
 Defined cases: rows without doc_id are neither marked nor matched, and stay; a
 null or short text has no window; rows that share a doc_id but not their text
@@ -34,20 +40,29 @@ from pyspark.sql import functions as F
 
 from lexloom.llm._cut import cut_words, with_texts
 from lexloom.llm._spark import fresh, over_texts, parts, whole_partition, written
-from lexloom.llm._suffix import common_prefix, lcp_array, suffix_array
+from lexloom.llm._suffix import lcp_array, suffix_array
 from lexloom.llm._text import U64, Words, mix64, window_hash, words
 
-LENGTH, ANCHOR, INDEX_WORDS = 50, 16, 400_000
+LENGTH, ANCHOR, INDEX_WORDS, ROUNDS, HOT_WORDS = 50, 16, 400_000, 3, 5_000_000
 
 
 class RunLengthIndex:
-    """A run-length BWT of ``seq`` (its last symbol must occur once), with samples at run ends."""
+    """A run-length BWT of ``seq`` (its last symbol must occur once), with samples at run ends.
+
+    The suffix array and its ranks are dropped once the runs are known.  Prefixes
+    of the sequence are compared by sums of hashes, up to ``length`` symbols.
+    """
 
     def __init__(self, seq: np.ndarray, length: int) -> None:
-        sa, self.levels = suffix_array(seq)
+        sa, levels = suffix_array(seq)
         n = len(seq)
-        # ranks at which a class of equal ``length``-windows begins
-        self.borders = np.flatnonzero(lcp_array(sa, self.levels, length) < length)
+        # windows that occur again, and where they occur first
+        kind = np.cumsum(lcp_array(sa, levels, length) < length) - 1
+        first = np.full(int(kind[-1]) + 1, n)
+        np.minimum.at(first, kind, sa)
+        again = first[kind] != sa
+        o = np.argsort(sa[again])
+        self.again, self.first = sa[again][o], first[kind][again][o]
         self.symbols, code = np.unique(seq, return_inverse=True)
         bwt = code[sa - 1]
         self.start = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
@@ -59,22 +74,49 @@ class RunLengthIndex:
         self.base = np.empty(len(o), np.int64)
         self.base[o] = np.cumsum(size[o]) - size[o]  # LF of each run's first row
         self.by_symbol = self.head[o] * len(o) + o
-        self.n = n
+        self.n, self.steps = n, [1 << k for k in range(max(length, 1).bit_length() - 1, -1, -1)]
+        with np.errstate(over="ignore"):
+            self.power = np.multiply.accumulate(np.append(U64(1), np.full(n, 0x9E3779B97F4A7C15, U64)))
+            self.sums = np.append(U64(0), np.cumsum(mix64(seq.astype(U64) + U64(1)) * self.power[:n]))
+
+    def runs(self) -> int:
+        return len(self.head)
+
+    def firsts(self, at: np.ndarray) -> np.ndarray:
+        """The first place of the windows at places ``at``."""
+        if not len(self.again):
+            return at
+        k = np.minimum(np.searchsorted(self.again, at), len(self.again) - 1)
+        return np.where(self.again[k] == at, self.first[k], at)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes i and j; exact below ``length``."""
+        i, j, out = i.copy(), j.copy(), np.zeros(len(i), np.int64)
+        with np.errstate(over="ignore"):
+            for step in self.steps:
+                ok = np.flatnonzero((i + step <= self.n) & (j + step <= self.n))
+                x, y = i[ok], j[ok]
+                a = (self.sums[x + step] - self.sums[x]) * self.power[self.n - x]
+                same = ok[a == (self.sums[y + step] - self.sums[y]) * self.power[self.n - y]]
+                i[same] += step
+                j[same] += step
+                out[same] += step
+        return out
 
     def lf(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
         return self.base[run] + row - self.start[run]
 
     def matching_statistics(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, length) for every position of the patterns text[start:start+size].
+        """(place, length) for every position of the patterns text[start:start+size].
 
         length is that of the longest prefix of the rest of the pattern that
-        occurs in the indexed text, row the rank of a suffix that has it.  All
+        occurs in the indexed text (exact below the index's own length), place where it does.  All
         patterns step backwards together.  Where the next symbol differs from
         the row's, the walk moves to the nearest run of that symbol above or
         below, whichever sampled end shares the longer prefix.
         """
         runs = len(self.head)
-        row_of, length_of = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        place_of, length_of = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
         sym = np.searchsorted(self.symbols, text)
         known = sym < len(self.symbols)
         known[known] = self.symbols[sym[known]] == text[known]
@@ -97,7 +139,7 @@ class RunLengthIndex:
                     ok &= r // runs == c[off]
                     r = np.where(ok, r % runs, 0)
                     cand, cand_row = ends[r], rows[r]
-                    share = np.where(length[off] > 0, np.where(cand == at[off], self.n, common_prefix(self.levels, at[off], cand)), 0)
+                    share = np.where(length[off] > 0, np.where(cand == at[off], self.n, self.common(at[off], cand)), 0)
                     take = ok & (share > best)
                     best, new_row, new_at, new_run = np.where(take, share, best), np.where(take, cand_row, new_row), np.where(take, cand, new_at), np.where(take, r, new_run)
                 found = best >= 0
@@ -106,8 +148,8 @@ class RunLengthIndex:
             q[:m] = np.where(length >= 0, self.lf(row, run), row)
             pos[:m] = np.where(length >= 0, at - 1, at)
             ln[:m] = length + 1
-            row_of[p], length_of[p] = q[:m], ln[:m]
-        return row_of, length_of
+            place_of[p], length_of[p] = pos[:m], ln[:m]
+        return place_of, length_of
 
 
 def pieces(w: Words, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,30 +181,53 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
+def first_places(text: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """For each place of ``text`` that begins a window of the pieces start, size: the first place of an equal window, else -1.
+
+    Pieces are in order of their group, and of their age within it; equal windows are in one group.
+    """
+    out, turn = np.full(len(text), -1), 0
+    while len(start):
+        lead = np.append(True, group[1:] != group[:-1]) if turn < ROUNDS else np.ones(len(start), bool)
+        a, n = start[lead], size[lead]
+        # each indexed piece ends with a symbol of its own
+        ends = np.cumsum(n)
+        seq = np.insert(text[ranges(a, n)] + len(a), ends, np.arange(len(a)))
+        place = np.insert(ranges(a, n), ends, -1)
+        index = RunLengthIndex(seq, length)
+        own = ranges(ends - n + np.arange(len(a)), n - length + 1)
+        out[place[own]] = place[index.firsts(own)]
+        start, size, group = start[~lead], size[~lead], group[~lead]
+        if not len(start):
+            break
+        at, match = index.matching_statistics(text + len(a), start, size)
+        pos = ranges(start, size - length + 1)
+        piece = np.repeat(np.arange(len(start)), size - length + 1)
+        hit = match[pos] >= length
+        out[pos[hit]] = place[index.firsts(at[pos[hit]])]
+        pos, piece = pos[~hit], piece[~hit]
+        new = np.append(True, (np.diff(pos) != 1) | (np.diff(piece) != 0)) if len(pos) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        start, group = pos[head], group[piece[head]]
+        size = np.diff(np.append(head, len(pos))) + length - 1
+        turn += 1
+    return out
+
+
 def mark(key: np.ndarray, doc: np.ndarray, at: np.ndarray, codes: list[bytes], length: int) -> dict[str, np.ndarray]:
     """Marked runs of windows among pieces sorted by (key, doc, at): doc_id, first and last window, document of the first occurrence."""
     which, distinct = pd.factorize(np.array(codes, dtype=object))
     size = np.array([len(c) // 4 for c in distinct], np.int64)
-    lead = np.full(len(distinct), len(codes))
+    lead = np.full(len(distinct), len(codes))  # a piece's first carrier is its earliest
     np.minimum.at(lead, which, np.arange(len(codes)))
-    d = len(distinct)
-    text = np.frombuffer(b"".join(distinct), np.uint32).astype(np.int64) + d
+    text = np.frombuffer(b"".join(distinct), np.uint32).astype(np.int64)
     begin = np.cumsum(size) - size
-    seq = np.insert(text, begin + size, np.arange(d))  # each piece ends with a symbol of its own
-    index = RunLengthIndex(seq, length)
-    row, match = index.matching_statistics(text, begin, size)
+    first = first_places(text, begin, size, key[lead], length)
     windows = size - length + 1
     pos = ranges(begin, windows)
-    assert (match[pos] >= length).all()
-    kind = np.searchsorted(index.borders, row[pos], "right")
-    # the earliest occurrence of each class; a piece's first carrier is its earliest
-    own = np.repeat(np.arange(d), windows)
-    w_doc, w_at = doc[lead[own]], at[lead[own]] + pos - begin[own]
-    o = np.lexsort((w_at, w_doc, kind))
-    head = np.append(True, kind[o][1:] != kind[o][:-1])
-    first = np.empty(int(kind.max()) + 1, np.int64)
-    first[kind[o][head]] = o[head]
-    lead_doc, lead_at = w_doc[first[kind]], w_at[first[kind]]
+    src = first[pos]
+    of = np.searchsorted(begin, src, "right") - 1
+    lead_doc, lead_at = doc[lead[of]], at[lead[of]] + src - begin[of]
     # back to every piece, copies included
     w_begin = np.cumsum(windows) - windows
     n = windows[which]
@@ -176,7 +241,7 @@ def mark(key: np.ndarray, doc: np.ndarray, at: np.ndarray, codes: list[bytes], l
     return {"doc_id": doc[r[cut]], "a": here[cut], "z": here[z], "first_doc_id": src[cut]}
 
 
-def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+def _spans(docs: DataFrame, length: int, anchor: int, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, first_doc_id) of every marked span."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
 
@@ -189,18 +254,24 @@ def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     anchors = written(over_texts(docs, "text", "key long, doc_id long, text_hash long, n int", seen), "anchors")
     shared = anchors.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1").select("key", "n")
     shared = written(shared, "shared")
-    amount = shared.agg(F.sum("n")).first()[0] or 0
-    wanted = anchors.select("key", F.col("doc_id").alias("id"), F.col("text_hash").alias("of_text")).join(shared, "key").groupBy("id", "of_text").agg(F.collect_set("key").alias("keys"))
-    found = docs.join(wanted, (docs["doc_id"] == wanted["id"]) & (docs["text_hash"] == wanted["of_text"])).select("doc_id", "text", "keys", "text_hash")
+    many = shared.where(F.col("n") > hot_words)
+    n_hot, amount = shared.agg(F.count_if(F.col("n") > hot_words), F.sum(F.when(F.col("n") <= hot_words, F.col("n")))).first()
 
-    def send(rows: pa.RecordBatch, texts: list) -> dict:
-        w = words(texts)
+    def carriers(keys: DataFrame) -> DataFrame:
+        """The documents that have an anchor of ``keys``, with those anchors."""
+        wanted = anchors.select("key", F.col("doc_id").alias("id"), F.col("text_hash").alias("of_text")).join(keys, "key").groupBy("id", "of_text").agg(F.collect_set("key").alias("keys"))
+        return docs.join(wanted, (docs["doc_id"] == wanted["id"]) & (docs["text_hash"] == wanted["of_text"])).select("doc_id", "text", "keys", "text_hash")
+
+    def chosen(w: Words, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, z, h = pieces(w, length, anchor)
-        keys = rows.column(2)
-        of = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(keys)))
+        of = np.repeat(np.arange(len(keys)), np.asarray(pa.compute.list_value_length(keys)))
         want = mix64(np.asarray(pa.compute.list_flatten(keys)).view(U64)) ^ mix64(of.astype(U64) + U64(1))
         ok = np.isin(mix64(h) ^ mix64(w.doc[a].astype(U64) + U64(1)), want)
-        a, z, h = a[ok], z[ok], h[ok]
+        return a[ok], z[ok], h[ok]
+
+    def send(rows: pa.RecordBatch, texts: list) -> dict:
+        w = words(texts)
+        a, z, h = chosen(w, rows.column(2))
         size = z - a + length
         body = w.hash[ranges(a, size)].astype(np.uint32)
         offsets = np.append(0, np.cumsum(size) * 4).astype(np.int32)
@@ -208,7 +279,7 @@ def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         own = pa.array(w.doc[a])
         return {"key": h.view(np.int64), "doc_id": rows.column(0).take(own), "text_hash": rows.column(3).take(own), "at": a - w.bounds[w.doc[a]], "codes": codes}
 
-    sent = over_texts(found, "text", "key long, doc_id long, text_hash long, at long, codes binary", send)
+    sent = over_texts(carriers(shared.where(F.col("n") <= hot_words)), "text", "key long, doc_id long, text_hash long, at long, codes binary", send)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = whole_partition(batches)
@@ -233,7 +304,21 @@ def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": ident[own], "text_hash": text[own], **got, "first_doc_id": ident[src], "first_text": text[src]})
             i = j
 
-    runs = sent.repartition(parts(docs.sparkSession, amount, 2_000_000), "key").mapInArrow(join, "doc_id long, text_hash long, a long, z long, first_doc_id long, first_text long").distinct()
+    runs = sent.repartition(parts(docs.sparkSession, amount or 0, 2_000_000), "key").mapInArrow(join, "doc_id long, text_hash long, a long, z long, first_doc_id long, first_text long").distinct()
+    if n_hot:
+
+        def spread(rows: pa.RecordBatch, texts: list) -> dict:
+            w = words(texts)
+            a, z, _ = chosen(w, rows.column(2))
+            at = ranges(a, z - a + 1)
+            own = pa.array(w.doc[at])
+            hashes = {c: window_hash(h, length)[at].view(np.int64) for c, h in (("h", w.hash), ("g", mix64(w.hash)))}
+            return {"doc_id": rows.column(0).take(own), "text_hash": rows.column(3).take(own), "at": at - w.bounds[w.doc[at]], **hashes}
+
+        each = written(over_texts(carriers(many), "text", "doc_id long, text_hash long, at long, h long, g long", spread).distinct(), "hot")
+        firsts = each.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
+        met = each.join(firsts, ["h", "g"]).where(F.struct("doc_id", "text_hash", "at") != F.col("f"))
+        runs = runs.unionAll(met.select("doc_id", "text_hash", F.col("at").alias("a"), F.col("at").alias("z"), F.col("f.doc_id"), F.col("f.text_hash"))).distinct()
     pair = ["doc_id", "text_hash", "first_doc_id", "first_text"]
     w = Window.partitionBy(*pair).orderBy("a")
     runs = runs.withColumn("new", F.coalesce((F.col("a") > F.lag("z").over(w) + 1).cast("int"), F.lit(1))).withColumn("k", F.sum("new").over(w))
@@ -241,9 +326,9 @@ def _spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return spans.select("doc_id", "text_hash", "start_word", "end_word", "first_doc_id")
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id) of every marked span; end_word is exclusive."""
-    return _spans(docs, length, anchor).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    return _spans(docs, length, anchor, hot_words).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
 def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
