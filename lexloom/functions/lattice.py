@@ -135,6 +135,59 @@ class Lattice:
             out.extend(ids)
         return out
 
+    def _coded(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct chunks, the chunks of all texts by number, the text of each)."""
+        raw = b"".join(texts)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not raw:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        b = np.frombuffer(raw, np.uint8).astype(np.int64)
+        cut = ~self.spanned[b[:-1] * 256 + b[1:]]
+        ends = np.cumsum(size)
+        cut[ends[(ends > 0) & (ends < len(raw))] - 1] = True
+        edge = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(raw)]])
+        at = edge.tolist()
+        number: dict[bytes, int] = {}
+        codes = np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip(at, at[1:])), np.int64, len(at) - 1)
+        return list(number), codes, np.searchsorted(ends, edge[:-1], "right")
+
+    def _paths(self, chunks: list[bytes]) -> list[tuple[int, ...]]:
+        best = self.best
+        if len(best) > REMEMBERED:
+            best.clear()
+        out = []
+        for c in chunks:
+            ids = best.get(c)
+            if ids is None:
+                ids = tuple(self.viterbi(c)[0])
+                if len(c) <= 64:
+                    best[c] = ids
+            out.append(ids)
+        return out
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, how many each has); each distinct chunk is looked up once."""
+        chunks, codes, text = self._coded(texts)
+        paths = self._paths(chunks)
+        size = np.fromiter(map(len, paths), np.int64, len(paths))
+        flat = np.fromiter((i for p in paths for i in p), np.int64, int(size.sum()))
+        n = size[codes]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[codes], n)
+        return flat[at], np.bincount(text, n, len(texts)).astype(np.int64)
+
+    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(a << 32 | b, number) of the adjacent ids within the texts."""
+        chunks, codes, text = self._coded(texts)
+        paths = self._paths(chunks)
+        times = np.bincount(codes, minlength=len(chunks))
+        inner = [(a << 32 | b, k) for p, k in zip(paths, times.tolist()) for a, b in zip(p, p[1:])]
+        key, n = (np.array(x, np.int64) for x in zip(*inner)) if inner else (np.zeros(0, np.int64),) * 2
+        first, last = (np.array([p[k] for p in paths], np.int64) for k in (0, -1))
+        meet = np.flatnonzero(text[1:] == text[:-1])
+        met, m = np.unique(last[codes[meet]] << 32 | first[codes[meet + 1]], return_counts=True) if len(meet) else (np.zeros(0, np.int64),) * 2
+        key, back = np.unique(np.concatenate([key, met]), return_inverse=True)
+        return key, np.bincount(back, np.concatenate([n, m]), len(key)).astype(np.int64)
+
     def nbest(self, text: bytes, n: int) -> list[tuple[list[int], float]]:
         """The ``n`` best paths, best first; each position keeps its own n best ways to be reached."""
         ways: list[list[tuple[float, int, int, int]]] = [[] for _ in range(len(text) + 1)]

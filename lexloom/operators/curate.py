@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.sources.corpus import before_limits
+
 LEAST_BYTES, MOST_BYTES = 16, 256 * 1024
 DATA_LANGUAGES, DATA_LINES = ("json", "yaml", "toml", "sql", "r", "hcl"), 256
 ENCODED = {
@@ -77,10 +79,9 @@ def quota_split(samples: DataFrame, test_bytes: int, train_bytes: int, order: st
 
     A sample takes its bytes and one for its end.
     """
-    before = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
-    part = F.when(at < test_bytes, "test").when(at < test_bytes + train_bytes, "train")
-    return samples.withColumn("split", part).where("split is not null")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    marked = before_limits(samples, order, size, {"__test": lambda _: F.lit(test_bytes), "__train": lambda _: F.lit(test_bytes + train_bytes)})
+    return marked.where("__train").withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test", "__train")
 
 
 def infilling(samples: DataFrame, seed: int = 0, group: int = 4, picks: int = 10) -> DataFrame:

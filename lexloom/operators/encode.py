@@ -47,11 +47,26 @@ def encode(spark: SparkSession, tokenizer: Tokenizer, text: Column, dropout: flo
     """array<int> of ids; null for null.  With dropout each text draws from a generator of its own (seed and text)."""
     shared = Shared(spark, tokenizer)
 
-    @F.pandas_udf("array<int>")
-    def ids(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(s: pa.Array) -> pa.Array:
         tok = shared.get()
         run = tok.encode if specials else tok.encode_ordinary
-        return s.map(lambda t: None if t is None else run(t, dropout, Random(f"{seed}:{t}") if dropout > 0 else None))
+        if dropout > 0:
+            return pa.array([None if t is None else run(t, dropout, Random(f"{seed}:{t}")) for t in s.to_pylist()], pa.list_(pa.int32()))
+        # every piece between special tokens is one text; all pieces of a batch are encoded together
+        texts, owner, fixed = [], [], []
+        for k, t in enumerate(s.to_pylist()):
+            for piece, special in (tok.split(t or "") if specials else [(t or "", False)]):
+                fixed.append(tok.special_token_to_id(piece) if special else -1)
+                texts.append(b"" if special else tok.processed(piece).encode(errors="surrogatepass"))
+                owner.append(k)
+        flat, size = tok.lattice.encode_all(texts)
+        fixed, owner = np.array(fixed, np.int32), np.array(owner, np.int64)
+        marks = np.flatnonzero(fixed >= 0)
+        flat = np.insert(flat, np.cumsum(size)[marks], fixed[marks])
+        size[marks] = 1
+        offsets = np.append(0, np.cumsum(np.bincount(owner, size, len(s)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)), mask=s.is_null())
 
     return ids(text)
 
@@ -60,10 +75,20 @@ def decode(spark: SparkSession, tokenizer: Tokenizer, ids: Column, include_speci
     """The text of array<int>; an id out of range is an error."""
     shared = Shared(spark, tokenizer)
 
-    @F.pandas_udf("string")
-    def text(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def text(s: pa.Array) -> pa.Array:
         tok = shared.get()
-        return s.map(lambda x: None if x is None else tok.decode(x, include_special_tokens))
+        flat = np.asarray(s.flatten()).astype(np.int64)
+        if include_special_tokens and (not len(flat) or (flat.min() >= 0 and flat.max() < tok.vocab_size())):
+            value = pa.array([t.value for t in tok.vocab] + [t.encode() for t in tok.special_tokens()], pa.large_binary()).take(pa.array(flat))
+            at = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + len(value) + 1]
+            ends = np.append(0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(s), 0))))
+            joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(at[ends].tobytes()), value.buffers()[2]])
+            try:  # whole texts of valid UTF-8 need no repair
+                return pa.compute.if_else(s.is_valid(), joined.cast(pa.large_string()), None).cast(pa.string())
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([None if x is None else tok.decode(x, include_special_tokens) for x in s.to_pylist()], pa.string())
 
     return text(ids)
 
@@ -145,3 +170,21 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
     return encoded.select("ids").where("ids is not null").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("freq"))
+
+
+def sample_pair_counts(samples: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """a, b, freq of adjacent ids within a sample (no special tokens).
+
+    A task encodes each distinct chunk once; pairs inside it count as often as it
+    occurs, and where chunks meet, the last and first of their ids are a pair.
+    """
+    shared = Shared(samples.sparkSession, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            tok = shared.get()
+            key, n = tok.lattice.pairs([tok.processed(t).encode(errors="surrogatepass") for t in rows.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+
+    texts = samples.select("text").where("text is not null and text <> ''")
+    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("freq"))

@@ -33,11 +33,18 @@ def frequency_buckets(freq: DataFrame, vocab_size: int, buckets: int = BUCKETS)
     each = vocab_size // buckets
     slots = freq.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     rank = F.row_number().over(Window.orderBy(F.desc("freq"), "id")) - 1
-    place = freq.select(F.floor(rank / max(each, 1)).cast("int").alias("bucket"), "freq").where(F.lit(each > 0))
+    top = freq.select("id", "freq").orderBy(F.desc("freq"), "id").limit(buckets * each)  # what is ranked is no more than the vocabulary
+    place = top.select(F.floor(rank / max(each, 1)).cast("int").alias("bucket"), "freq").where(F.lit(each > 0))
     sums = place.groupBy("bucket").agg(F.sum("freq").alias("frequency"))
     return slots.join(sums, "bucket", "left").select("bucket", F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 
+def bucket_shares(buckets: DataFrame) -> DataFrame:
+    """bucket, frequency and its percentage of all buckets' sum."""
+    whole = F.sum("frequency").over(Window.partitionBy())
+    return buckets.select("bucket", "frequency", F.when(whole > 0, F.round(100.0 * F.col("frequency") / whole, 2)).alias("percent"))
+
+
 def find(samples: DataFrame, needle: str) -> DataFrame:
     """occurrences, samples_hit and percent of samples of every source that has any, and in total (source null)."""
     if not needle:

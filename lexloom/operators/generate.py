@@ -1,27 +1,32 @@
 """A seed vocabulary from the number of samples that hold each short substring.
 
-Samples are scanned once.  A task keeps a dictionary of counts and hands it on
-when it has grown, so the shuffle carries at most one row per distinct token
+Samples are scanned once.  A task numbers its tokens, keeps for each piece of text the
+numbers of its substrings, and adds up in arrays; it hands its counts on
+when they have grown, so the shuffle carries at most one row per distinct token
 and hand-over, not one per (sample, token).  The rest is relational.
+
+Draws depend on the sample (source and sample_id, where they are there) and the token
+alone: not on partitions, on the order of samples, or on copies of a text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from random import Random
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.columns import occurrences
 from lexloom.functions.patterns import allow_regex, mine_regex
 
 PROBABILITY, MAX_BYTES = 0.1, 24
 HELD = 1_000_000
 LONG = 100_000
+LISTED_CHARS = 20_000_000
 
 
 def substrings(piece: str, max_bytes: int) -> list[str]:
@@ -61,58 +66,113 @@ def _prefixes(s: str, max_bytes: int) -> list[str]:
     return out
 
 
-def _batches(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "freq"])
-
-
-def _short(samples: DataFrame, max_bytes: int, p: float, seed: int, skip: frozenset[str]) -> DataFrame:
-    """token, freq over samples whose pieces fit a dictionary."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs, with its default seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42 + 8) + p5) ^ (turn(x * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def _token_hash(tokens: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode(), seed=42) for t in tokens], np.uint64)
+
+
+def _drawn(sample: int, tokens: np.ndarray, k: np.ndarray, p: float) -> np.ndarray:
+    """Whether at least one of k occurrences of each token hash is drawn in the sample."""
+    u = (_mixed(tokens ^ np.uint64(sample & 0xFFFFFFFFFFFFFFFF)) & np.uint64((1 << 52) - 1)).astype(float) / (1 << 52)
+    return u < 1 - (1 - p) ** k
+
+
+class _Numbered:
+    """The tokens of a task: their numbers and counts, and for each piece the numbers of its substrings."""
+
+    def __init__(self, max_bytes: int, skip: frozenset[str]) -> None:
+        self.max_bytes, self.skip = max_bytes, skip
+        self.number: dict[str, int] = {}
+        self.of_piece: dict[str, np.ndarray] = {}
+        self.count = np.zeros(1 << 16, np.int64)
+        self.hash = np.zeros(0, np.uint64)
+
+    def ids(self, piece: str) -> np.ndarray:
+        got = self.of_piece.get(piece)
+        if got is None:
+            number, skip = self.number, self.skip
+            got = np.array([number.setdefault(t, len(number)) for t in substrings(piece, self.max_bytes) if t not in skip], np.int64)
+            if len(piece) < 64:
+                self.of_piece[piece] = got
+        return got
+
+    def sample(self, pieces: list[str], key: int, p: float) -> None:
+        if not pieces:
+            return
+        flat = np.concatenate([self.ids(piece) for piece in pieces])
+        if not len(flat):
+            return
+        if len(self.number) > len(self.count):
+            self.count = np.append(self.count, np.zeros(2 * len(self.number) - len(self.count), np.int64))
+        ids, k = np.unique(flat, return_counts=True)
+        if p < 1:
+            if len(self.hash) < len(self.number):
+                self.hash = np.append(self.hash, _token_hash(list(self.number)[len(self.hash) :]))
+            ids = ids[_drawn(key, self.hash[ids], k, p)]
+        self.count[ids] += 1
+
+    def batch(self) -> pa.RecordBatch:
+        n = self.count[: len(self.number)]
+        seen = np.flatnonzero(n)
+        tokens = pa.array(list(self.number), pa.string()).take(pa.array(seen))
+        return pa.RecordBatch.from_arrays([tokens, pa.array(n[seen])], ["token", "freq"])
+
+
+def _short(samples: DataFrame, max_bytes: int, p: float, skip: frozenset[str]) -> DataFrame:
+    """token, freq over samples whose tokens fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(200_000)(lambda piece: substrings(piece, max_bytes))
-        held: Counter = Counter()
+        held = _Numbered(max_bytes, skip)
         for rows in batches:
             for pieces, key in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                if p >= 1:
-                    seen: set[str] = set()
-                    for piece in pieces:
-                        seen.update(of(piece) if len(piece) < 64 else substrings(piece, max_bytes))
-                    held.update(seen - skip if skip else seen)
-                else:
-                    many: Counter = Counter()
-                    for piece in pieces:
-                        many.update(of(piece) if len(piece) < 64 else substrings(piece, max_bytes))
-                    draw = Random(key ^ seed).random
-                    held.update(t for t, k in many.items() if t not in skip and draw() < 1 - (1 - p) ** k)
-                if len(held) > HELD:
-                    yield _batches(held)
-                    held = Counter()
-        if held:
-            yield _batches(held)
+                held.sample(pieces, key, p)
+                if len(held.number) > HELD:
+                    yield held.batch()
+                    held = _Numbered(max_bytes, skip)
+        if held.number:
+            yield held.batch()
 
     return samples.select("pieces", "key").mapInArrow(run, "token string, freq long")
 
 
-def _long(samples: DataFrame, max_bytes: int, p: float, seed: int, skip: frozenset[str]) -> DataFrame:
-    """The same for samples of any length: a sample's tokens are counted by the shuffle."""
+def _long(samples: DataFrame, max_bytes: int, p: float, skip: frozenset[str]) -> DataFrame:
+    """The same, with the same draws, for samples of any length: a sample's tokens are counted by the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for pieces, nr in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            for pieces, nr, key in zip(*(rows.column(k).to_pylist() for k in range(3))):
                 for piece in pieces:
                     for some in _windows(piece, max_bytes, 20_000):
                         many = Counter(some)
                         for t in skip & many.keys():
                             del many[t]
-                        yield pa.RecordBatch.from_arrays([pa.array([nr] * len(many), pa.int64()), pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["nr", "token", "k"])
+                        n = len(many)
+                        yield pa.RecordBatch.from_arrays([pa.array([nr] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["nr", "key", "token", "k"])
 
-    each = samples.select("pieces", F.monotonically_increasing_id().alias("nr")).mapInArrow(run, "nr long, token string, k long").groupBy("nr", "token").agg(F.sum("k").alias("k"))
+    each = samples.select("pieces", F.monotonically_increasing_id().alias("nr"), "key").mapInArrow(run, "nr long, key long, token string, k long")
+    each = each.groupBy("nr", "key", "token").agg(F.sum("k").alias("k"))
     if p < 1:
-        u = (F.pmod(F.xxhash64("nr", "token", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
+        u = F.xxhash64(F.xxhash64("token").bitwiseXOR(F.col("key"))).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
         each = each.where(u < 1 - F.pow(F.lit(1 - p), F.col("k")))
     return each.groupBy("token").agg(F.count("*").alias("freq"))
 
 
+def _sample_key(samples: DataFrame, seed: int) -> Column:
+    own = [c for c in ("source", "sample_id") if c in samples.columns]
+    return F.xxhash64(F.lit(seed), *(own or ["text"]))
+
+
 def document_frequency(samples: DataFrame, *, max_bytes: int = MAX_BYTES, p: float = PROBABILITY, split: str | None = None, allow: list[str] | None = None, added: list[str] = [], suggested: list[str] = [], seed: int = 0) -> DataFrame:  # noqa: B006
     """token, freq: in how many samples each candidate was drawn, and one more for each time it is added or suggested.
 
@@ -128,9 +188,9 @@ def document_frequency(samples: DataFrame, *, max_bytes: int = MAX_BYTES, p: flo
     pieces = F.regexp_extract_all("text", F.lit(mine_regex([split])), F.lit(0)) if split else F.array("text")
     if split and p >= 1:
         pieces = F.array_distinct(pieces)  # more of the same changes nothing
-    cut = samples.select(pieces.alias("pieces"), F.xxhash64("text").alias("key"), F.length("text").alias("n"))
+    cut = samples.select(pieces.alias("pieces"), _sample_key(samples, seed).alias("key"), F.length("text").alias("n"))
     # one scan with both kinds would need both outputs; the length decides, so each text is worked on once
-    found = _short(cut.where(F.col("n") <= LONG), max_bytes, p, seed, listed).unionAll(_long(cut.where(F.col("n") > LONG), max_bytes, p, seed, listed))
+    found = _short(cut.where(F.col("n") <= LONG), max_bytes, p, listed).unionAll(_long(cut.where(F.col("n") > LONG), max_bytes, p, listed))
     total = found.groupBy("token").agg(F.sum("freq").alias("freq"))
     if allow:
         total = total.where(F.col("token").rlike(allow_regex(allow)))
@@ -142,9 +202,28 @@ def listed_frequency(samples: DataFrame, added: list[str], suggested: list[str],
     spark = samples.sparkSession
     names = Counter(set(added)) + Counter(set(suggested))
     tokens = spark.createDataFrame(sorted(names.items()), "token string, seeds long")
-    k = occurrences(F.col("text"), F.col("token"))
-    hit = F.contains("text", F.col("token")) if p >= 1 else F.rand(seed) < 1 - F.pow(F.lit(1 - p), k)
-    held = samples.select("text").crossJoin(tokens.hint("broadcast") if len(names) <= 100_000 else tokens).where(hit).groupBy("token").agg(F.count("*").alias("n"))
+    if sum(map(len, names)) > LISTED_CHARS:
+        raise ValueError(f"lists of over {LISTED_CHARS} characters are too large to broadcast")
+    shared = spark.sparkContext.broadcast(sorted(t for t in names if t))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value
+        machine = ahocorasick.Automaton()
+        for i, t in enumerate(listed):
+            machine.add_word(t, i)
+        machine.make_automaton()
+        hashes, count = _token_hash(listed), np.zeros(len(listed), np.int64)
+        for rows in batches:
+            for text, key in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                ids = np.unique(np.fromiter((i for _, i in machine.iter(text)), np.int64))
+                if p < 1 and len(ids):
+                    ids = ids[_drawn(key, hashes[ids], np.array([text.count(listed[i]) for i in ids.tolist()]), p)]
+                count[ids] += 1
+        seen = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array([listed[i] for i in seen.tolist()], pa.string()), pa.array(count[seen])], ["token", "n"])
+
+    texts = samples.where("text is not null and text <> ''").select("text", _sample_key(samples, seed))
+    held = (texts.mapInArrow(run, "token string, n long") if shared.value else spark.createDataFrame([], "token string, n long")).groupBy("token").agg(F.sum("n").alias("n"))
     return tokens.join(held, "token", "left").select("token", (F.col("seeds") + F.coalesce("n", F.lit(0))).alias("freq"))
 
 

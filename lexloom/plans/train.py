@@ -14,7 +14,7 @@ from lexloom.functions.patterns import allow_regex
 from lexloom.functions.tokenizer import Token, Tokenizer
 from lexloom.operators import generate as g
 from lexloom.operators import prune as p
-from lexloom.operators.encode import encode, pair_counts, token_frequency
+from lexloom.operators.encode import sample_pair_counts, token_frequency
 from lexloom.sources.corpus import vocab_frame, vocab_list
 
 
@@ -51,9 +51,8 @@ def best_pairs(samples: DataFrame, tokenizer: Tokenizer, n: int, allow: list[str
     """a, b, freq, value, score: the ``n`` most frequent pairs whose join is allowed and new."""
     spark = samples.sparkSession
     vocab = vocab_frame(spark, tokenizer.vocab)
-    encoded = samples.select(encode(spark, tokenizer, F.col("text"), specials=False).alias("ids"))
     side = lambda c: vocab.select(F.col("id").alias(c), F.col("value").alias(f"{c}_value"), F.col("score").alias(f"{c}_score"))
-    joined = pair_counts(encoded).join(side("a"), "a").join(side("b"), "b")
+    joined = sample_pair_counts(samples, tokenizer).join(side("a"), "a").join(side("b"), "b")
     joined = joined.select("a", "b", "freq", F.concat("a_value", "b_value").alias("value"), ((F.col("a_score") + F.col("b_score")) * scale).alias("score"))
     valid = joined.where((F.octet_length("value") <= max_bytes) & F.expr("make_valid_utf8(value)").rlike(allow_regex(allow)))
     return valid.orderBy(F.desc("freq"), "a", "b").limit(n)

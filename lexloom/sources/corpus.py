@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
-from collections.abc import Iterable
+import re
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import columns
@@ -30,7 +35,12 @@ def parse_spec(spec: str) -> tuple[str, str, float]:
 
 def read_samples(spark: SparkSession, path: str, source: str) -> DataFrame:
     """source, sample_id, text of a NUL-separated file; empty samples are left out, bad UTF-8 is an error."""
-    raw = spark.read.option("lineSep", "\0").text(path).withColumn("sample_id", F.monotonically_increasing_id())
+    raw = spark.read.option("lineSep", "\0").text(path)
+    # samples count in the order of the files' names, and of their places within: a split's first byte and the row in it
+    names = spark.createDataFrame([(re.sub("^file:/+", "/", f), k) for k, f in enumerate(sorted(raw.inputFiles()))], "file string, nr long")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = raw.select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), (F.col("_metadata.file_block_start") + row).alias("at"))
+    raw = raw.join(F.broadcast(names), "file").select("value", (F.col("nr") * (1 << 40) + F.col("at")).alias("sample_id"))
     bad = F.raise_error(F.concat(F.lit(f"{path}: sample "), F.col("sample_id").cast("string"), F.lit(" isn't UTF-8")))
     text = F.when(F.expr("is_valid_utf8(value)"), F.col("value")).otherwise(bad.cast("string"))
     return raw.select(F.lit(source).alias("source"), "sample_id", text.alias("text")).where("text <> ''")
@@ -44,11 +54,57 @@ def write_samples(texts: DataFrame, path: str) -> None:
 
 def prefix_sample(samples: DataFrame, proportion: float, order: str = "sample_id") -> DataFrame:
     """The first floor(n * proportion) samples of every source."""
-    if proportion >= 1:
-        return samples
-    w = Window.partitionBy("source")
-    ranked = samples.withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(order))})
-    return ranked.where(F.col("__k") <= F.floor(F.col("__n") * proportion)).drop("__n", "__k")
+    return samples if proportion >= 1 else before_limits(samples, order, F.lit(1), {"kept": lambda n: F.floor(n * proportion)}).where("kept").drop("kept")
+
+
+STRIDE = 1_000_000
+
+
+def before_limits(samples: DataFrame, order: str, weight: Column, limits: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each limit a column: whether the weights of the source's samples before this one are under it.
+
+    Limits are functions of the source's total.  Texts stay where they are: sums
+    over stretches of ``STRIDE`` ids find the stretch in which a source crosses a
+    limit, and only that stretch's ids are ranked; what comes back is one row
+    for each source and limit.  Samples of one id come in the order of their text's hash.
+    """
+    keys = samples.select("source", F.col(order).alias("o"), weight.cast("long").alias("w"), F.floor(F.col(order) / STRIDE).alias("b"), F.xxhash64("text").alias("h"))
+    sums = keys.groupBy("source", "b").agg(F.sum("w").alias("s"))
+    by = Window.partitionBy("source")
+    start = F.coalesce(F.sum("s").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumns({"start": start, "total": F.sum("s").over(by)})
+    out, own = samples.withColumn("__h", F.xxhash64("text")), samples.columns
+    for name, limit in limits.items():
+        each = sums.withColumn("limit", limit(F.col("total")))
+        crossing = each.where("start < limit and start + s >= limit").select("source", "b", "start", "limit")
+        ranked = keys.join(F.broadcast(crossing), ["source", "b"])
+        before = F.col("start") + F.coalesce(F.sum("w").over(by.orderBy("o", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = ranked.withColumn("before", before).where("before < limit").groupBy("source").agg(F.max(F.struct("o", "h")).alias("last"))
+        whole = each.groupBy("source").agg(F.max(F.col("limit") > F.col("total")).alias("whole"))
+        cut = whole.join(last, "source", "left").select(F.col("source").alias("__source"), "whole", "last")
+        out = out.join(F.broadcast(cut), out["source"].eqNullSafe(cut["__source"]), "left")
+        inside = F.coalesce(F.col("whole") | (F.struct(F.col(order), F.col("__h")) <= F.col("last")), F.lit(False))
+        own = [*own, name]
+        out = out.withColumn(name, inside).select(*own, "__h")
+    return out.drop("__h")
+
+
+def shuffled(samples: DataFrame, seed: int = 0) -> DataFrame:
+    """The samples in a random order that depends on the seed and the rows alone."""
+    key = F.xxhash64(F.lit(seed), *samples.columns)
+    return samples.withColumn("__k", key).orderBy("__k").drop("__k")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, and only in local mode a temporary one where that is unset."""
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if held:
+        return f"{held.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="lexloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"{made}/data"
 
 
 def processed(samples: DataFrame, names: list[str]) -> DataFrame:
