@@ -7,7 +7,12 @@ none, and tests hold the operator against brute force.
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +20,19 @@ from pyspark.sql import functions as F
 from lexloom.functions import columns, patterns
 from lexloom.functions.tokenizer import Token, Tokenizer
 from lexloom.operators import curate, evaluate, generate, mine, prune, vocabulary
-from lexloom.operators.encode import Shared, chunk_counts, decode, encode, pair_counts, split_specials, token_frequency
+from lexloom.operators.encode import Shared, chunk_counts, decode, encode, pair_counts, sample_pair_counts, split_specials, token_frequency
 from lexloom.plans import train
 from lexloom.sources import corpus
+from lexloom.streaming.encode import encode_available
 
-TOP, SHARE, SIZE, TARGET, MIN_SCORE = 100, 0.25, 4000, 3000, -11.0
+TOP, SHARE, SIZE, TARGET, MIN_SCORE = 100, 0.25, 4000, 3000, -9.0
 SPLIT = "space-word"
 ALLOW = ["space-lowercase-word", "capitalized-word"]
 ADDED, SUGGESTED = ["ing ", "the ", "tion"], ["ent", "the "]
 SPECIALS = ["the ", "th", "\n\n"]
+#: Rows that the tables lack, so that every pattern and every filter has something to find.
+IDIOMS = ["don't You'll we're", "你好 世界", "[abc] [12] 'abc' \"V\" <tag>", "x;\n  y\n\tz", "f();\n\t\tg)\n  h", "a .25 1.5"]
+JUNK = [(-1, "json", "a line of data in a file\n" * 300), (-2, "c", "a" * 1200), (-3, "c", "(((--))) [[]] ;;" * 4), (-4, "c", "12345678901 ab\n" * 3), (-5, "c", "\n".join(["QUJD" * 20] * 5)), (-6, "c", "привет мир abcde\n" * 3), (-7, "c", "٣٤٥٦٧٨ ²³ abcde fgh\n" * 3), (-8, "c", "\\u00e9\\u00e8" * 8 + " and a few more words")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +48,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "E'" + text.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,11 +65,20 @@ def byte_tokenizer() -> Tokenizer:
     return Tokenizer([Token(bytes([i]), -8.0) for i in range(256)])
 
 
+WORDS: list[str] = []
+
+
+def word_score(k: int) -> float:
+    """Scores of which no two sums are equal."""
+    return -6.0 - math.sqrt(k + 2) / 7
+
+
 def word_tokenizer(special_tokens: list[str] = []) -> Tokenizer:  # noqa: B006
     """A small fixed vocabulary of common pieces over all bytes."""
     pieces = "the he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce el la tion ing ent ion der die und la el que les des est para con pour".split()
-    words = [w for p in pieces for w in (p, " " + p)]
-    return Tokenizer([Token(bytes([i]), -9.0 - i / 512, True) for i in range(256)] + [Token(w.encode(), -6.0 - 0.01 * k) for k, w in enumerate(words)], ["crlf"], special_tokens)
+    words = [w for p in dict.fromkeys(pieces) for w in (p, " " + p)]
+    WORDS[:] = words
+    return Tokenizer([Token(bytes([i]), -9.0 - i / 512, True) for i in range(256)] + [Token(w.encode(), word_score(k)) for k, w in enumerate(words)], ["crlf"], special_tokens)
 
 
 # sources and processors
@@ -78,16 +100,26 @@ def crlf(spark, sf_dir):
     return rows.select("conv_id", "turn", columns.crlf(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+_APART = [("é", "e\u0301"), ("ü", "u\u0308"), ("ñ", "n\u0303")]
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'ñ', 'n' || chr(771))) AS text FROM documents")
 def nfc(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", columns.normal_form(F.col("text"), "nfc").alias("text"))
+    text = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), _APART, F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", columns.normal_form(text, "nfc").alias("text"))
 
 
 def _normal(form: str) -> None:
+    """The form's length, and the text composed again; compatibility forms also take a ligature apart."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _documents(spark, sf_dir).select("doc_id", columns.normal_form(F.col("text"), form).alias("text"))
+        text = F.replace("text", F.lit("fi"), F.lit("ﬁ")) if "k" in form else F.col("text")
+        made = _documents(spark, sf_dir).select("doc_id", columns.normal_form(text, form).alias("made"))
+        return made.select("doc_id", F.length("made").cast("long").alias("n_chars"), columns.normal_form(F.col("made"), "nfc").alias("text"))
 
     QUERIES[form] = run
+    marks = "" if form == "nfkc" else " + len(regexp_extract_all(nfc_normalize(text), '[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]'))"
+    ORACLES[form] = f"SELECT doc_id, (length(nfc_normalize(text)){marks})::BIGINT AS n_chars, nfc_normalize(text) AS text FROM documents"
 
 
 for _form in ("nfd", "nfkc", "nfkd"):
@@ -106,11 +138,12 @@ def _mined(name: str) -> None:
     p = patterns.re2(name).replace("'", "''")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return mine.mine(_samples(spark, sf_dir), [name], TOP)
+        more = spark.createDataFrame([("idioms", -1 - k, t) for k, t in enumerate(IDIOMS)], "source string, sample_id long, text string")
+        return mine.mine(_samples(spark, sf_dir).unionByName(more), [name], TOP)
 
     key = "mine_" + name.replace("-", "_")
     QUERIES[key] = run
-    ORACLES[key] = f"SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS token FROM documents) WHERE token <> '' GROUP BY token ORDER BY freq DESC, encode(token) LIMIT {TOP}"
+    ORACLES[key] = f"SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS token FROM (SELECT text FROM documents UNION ALL SELECT unnest([{', '.join(map(_quoted, IDIOMS))}]))) WHERE token <> '' GROUP BY token ORDER BY freq DESC, encode(token) LIMIT {TOP}"
 
 
 for _name in patterns.NAMED:
@@ -132,7 +165,12 @@ def generate_sampled(spark, sf_dir):
     return generate.document_frequency(_samples(spark, sf_dir), split=SPLIT, allow=ALLOW)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents), e AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM c),
+w AS (SELECT doc_id, c || coalesce(lead(c, 1) OVER d, '') || coalesce(lead(c, 2) OVER d, '') || coalesce(lead(c, 3) OVER d, '') AS w FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT DISTINCT doc_id, substring(w, 1, n) AS token FROM w, (VALUES (1), (2), (3), (4)) s(n) WHERE n <= length(w))
+SELECT token, count(*) AS freq FROM t WHERE octet_length(encode(token)) <= 4 GROUP BY token"""
+)
 def generate_unsplit(spark, sf_dir):
     return generate.document_frequency(_samples(spark, sf_dir), p=1.0, max_bytes=4)
 
@@ -142,6 +180,21 @@ def listed_frequencies(spark, sf_dir):
     return generate.listed_frequency(_samples(spark, sf_dir), ADDED, SUGGESTED)
 
 
+_LISTED = "listed(token, seeds, place, keep) AS (VALUES " + ", ".join(f"('{t}', {(t in ADDED) + (t in SUGGESTED)}, {k}, {t in ADDED})" for k, t in enumerate(dict.fromkeys([*ADDED, *SUGGESTED]))) + ")"
+
+
+@query(
+    f"""WITH {_FREQ}, {_LISTED}, counted AS (SELECT token, freq, NULL AS place, false AS keep FROM freq WHERE token NOT IN (SELECT token FROM listed)
+UNION ALL SELECT token, seeds + (SELECT count(*) FROM documents WHERE contains(text, token)), place, keep FROM listed),
+many AS (SELECT hex(encode(token)) AS value_hex, freq * octet_length(encode(token)) AS weight, keep FROM counted WHERE octet_length(encode(token)) > 1 ORDER BY place NULLS LAST, freq DESC, encode(token) LIMIT {SIZE - 255}),
+weighted AS (SELECT printf('%02X', i) AS value_hex, (SELECT max(freq) FROM counted) AS weight, true AS keep FROM range(255) t(i) UNION ALL SELECT * FROM many)
+SELECT (row_number() OVER (ORDER BY weight DESC, value_hex) - 1)::INTEGER AS id, value_hex, round(ln(weight) - ln(sum(weight) OVER ()), 6) AS score, keep FROM weighted"""
+)
+def generate_with_lists(spark, sf_dir):
+    freq = generate.document_frequency(_samples(spark, sf_dir), p=1.0, split=SPLIT, allow=ALLOW, added=ADDED, suggested=SUGGESTED)
+    return _shown(generate.seed_vocabulary(freq, SIZE, ADDED, SUGGESTED))
+
+
 _VOCAB = f"""{_FREQ}, many AS (SELECT hex(encode(token)) AS value_hex, freq * octet_length(encode(token)) AS weight, false AS keep FROM freq WHERE octet_length(encode(token)) > 1 ORDER BY freq DESC, encode(token) LIMIT {SIZE - 255}),
 weighted AS (SELECT printf('%02X', i) AS value_hex, (SELECT max(freq) FROM freq) AS weight, true AS keep FROM range(255) t(i) UNION ALL SELECT * FROM many),
 vocab AS (SELECT (row_number() OVER (ORDER BY weight DESC, value_hex) - 1)::INTEGER AS id, value_hex, ln(weight) - ln(sum(weight) OVER ()) AS score, keep FROM weighted)"""
@@ -199,7 +252,7 @@ def vocabulary_sizes(spark, sf_dir):
 
 @query(f"WITH {_VOCAB}, {_WORDS}, cut AS (SELECT token AS text, unnest(range(1, length(token) + 1)) AS n FROM words) SELECT text, id, n::INTEGER AS n_bytes FROM cut JOIN vocab ON value_hex = hex(encode(substring(text, 1, n)))")
 def prefix_search(spark, sf_dir):
-    return vocabulary.prefix_search(_words(spark, sf_dir), _vocab(spark, sf_dir), "token")
+    return vocabulary.prefix_search(_words(spark, sf_dir), _vocab(spark, sf_dir), "token", generate.MAX_BYTES)
 
 
 # encoding
@@ -219,9 +272,42 @@ def encode_dropout_round_trip(spark, sf_dir):
     return ids.select("doc_id", decode(spark, tok, F.col("ids")).alias("text"))
 
 
-@query()
+word_tokenizer()  # fills WORDS
+_CUT = "regexp_extract_all(text, ' ?[a-z]+|(?s:.)')"
+_TOK = "tok(id, token, score) AS (VALUES " + ", ".join([f"({i}, chr({i}), {-9.0 - i / 512!r}::DOUBLE)" for i in (32, *range(97, 123))] + [f"({256 + k}, '{w}', {word_score(k)!r}::DOUBLE)" for k, w in enumerate(WORDS)]) + ")"
+_JOINS = " ".join(f"LEFT JOIN tok t{n} ON t{n}.token = CASE WHEN i + 1 >= {n} AND NOT (alone AND {n} = length(piece)) THEN substring(piece, i + 2 - {n}, {n}) END" for n in range(1, 6))
+
+
+def _viterbi(pieces: str) -> str:
+    """CTEs: paths(piece, score, ids), the best path of every row of ``pieces`` (piece, alone: not by a token for the whole), letter by letter."""
+    best = "greatest(" + ", ".join(f"coalesce(sc[i + 2 - {n}] + t{n}.score, '-infinity'::DOUBLE)" for n in range(1, 6)) + ")"
+    back = "CASE " + " ".join(f"WHEN sc[i + 2 - {n}] + t{n}.score = {best} THEN {n}" for n in range(5, 0, -1)) + " END"
+    return f"""{_TOK}, ahead(piece, alone, i, sc, bk) AS (SELECT piece, alone, 0, [0.0::DOUBLE], [0] FROM {pieces}
+UNION ALL SELECT piece, alone, i + 1, list_append(sc, {best}), list_append(bk, {back}) FROM ahead {_JOINS} WHERE i < length(piece)),
+behind(piece, score, place, bk, ids) AS (SELECT piece, sc[i + 1], i, bk, []::INTEGER[] FROM ahead WHERE i = length(piece)
+UNION ALL SELECT piece, b.score, place - bk[place + 1], bk, list_prepend(id, ids) FROM behind b JOIN tok ON token = substring(piece, place - bk[place + 1] + 1, bk[place + 1]) WHERE place > 0),
+paths AS (SELECT piece, score, ids FROM behind WHERE place = 0)"""
+
+
+_HEX = "list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda h: ('0x' || h)::INTEGER)"
+#: every distinct piece of the texts with its best path: no token spans two pieces
+_ENCODED = f"""RECURSIVE cuts AS (SELECT doc_id, source, {_CUT} AS l FROM documents), each AS (SELECT doc_id, source, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM cuts),
+kinds AS (SELECT piece, count(*) AS n FROM each GROUP BY piece), spelt AS (SELECT piece, false AS alone FROM kinds WHERE regexp_full_match(piece, ' ?[a-z]+')), {_viterbi('spelt')},
+encoded AS (SELECT piece, ids FROM paths UNION ALL SELECT piece, {_HEX} FROM kinds WHERE NOT regexp_full_match(piece, ' ?[a-z]+'))"""
+_TOKEN_FREQ = f"{_ENCODED}, token_freq AS (SELECT id, sum(n)::BIGINT AS freq FROM (SELECT unnest(ids) AS id, n FROM encoded JOIN kinds USING (piece)) GROUP BY id)"
+
+
+@query(f"WITH {_ENCODED} SELECT doc_id, string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos) AS ids FROM each JOIN encoded USING (piece) GROUP BY doc_id")
 def encode_documents(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", encode(spark, word_tokenizer(), F.col("text")).alias("ids"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(encode(spark, word_tokenizer(), F.col("text")), " ").alias("ids"))
+
+
+@query(f"WITH {_ENCODED} SELECT doc_id, string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos) AS ids FROM each JOIN encoded USING (piece) GROUP BY doc_id")
+def encode_stream(spark, sf_dir):
+    """The table as a stream of files, encoded exactly once."""
+    at = corpus.scratch_dir(spark)
+    got = encode_available(spark, sf_dir, _documents(spark, sf_dir).schema.simpleString()[7:-1].replace(":", " "), word_tokenizer(), f"{at}/out", f"{at}/checkpoint", "documents.parquet")
+    return got.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, 'the |th|' || chr(10) || chr(10)))::BIGINT AS n_special, length(regexp_replace(text, 'the |th|' || chr(10) || chr(10), '', 'g'))::BIGINT AS ordinary_chars FROM documents")
@@ -241,11 +327,27 @@ def token_frequency_bytes(spark, sf_dir):
 
 @query(f"WITH {_BYTES}, each AS (SELECT unnest(h[:-2]) AS a, unnest(h[2:]) AS b FROM raw WHERE len(h) > 1) SELECT ('0x' || a)::INTEGER AS a, ('0x' || b)::INTEGER AS b, count(*) AS freq FROM each GROUP BY ALL")
 def pair_counts_bytes(spark, sf_dir):
-    docs = _samples(spark, sf_dir)
-    return pair_counts(docs.select(encode(spark, byte_tokenizer(), F.col("text")).alias("ids")))
+    return sample_pair_counts(_samples(spark, sf_dir), byte_tokenizer())
 
 
-@query()
+@query(f"WITH {_ENCODED}, ids AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS h FROM each JOIN encoded USING (piece) GROUP BY doc_id), p AS (SELECT unnest(h[:-2]) AS a, unnest(h[2:]) AS b FROM ids WHERE len(h) > 1) SELECT a, b, count(*) AS freq FROM p GROUP BY ALL")
+def pair_counts_words(spark, sf_dir):
+    return sample_pair_counts(_samples(spark, sf_dir), word_tokenizer())
+
+
+@query(f"WITH {_ENCODED}, ids AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS h FROM each JOIN encoded USING (piece) GROUP BY doc_id), p AS (SELECT unnest(h[:-2]) AS a, unnest(h[2:]) AS b FROM ids WHERE len(h) > 1) SELECT a, b, count(*) AS freq FROM p GROUP BY ALL")
+def pair_counts_encoded(spark, sf_dir):
+    """The same from a column of ids."""
+    return pair_counts(_documents(spark, sf_dir).select(encode(spark, word_tokenizer(), F.col("text")).alias("ids")))
+
+
+@query(f"WITH {_BYTES}, each AS (SELECT unnest(h[:-2]) AS a, unnest(h[2:]) AS b FROM raw WHERE len(h) > 1) SELECT ('0x' || a)::INTEGER AS a, ('0x' || b)::INTEGER AS b, count(*) AS freq, a || b AS value_hex, -14.4::DOUBLE AS score FROM each WHERE (a = '20' OR a BETWEEN '61' AND '7A') AND b BETWEEN '61' AND '7A' GROUP BY each.a, each.b ORDER BY freq DESC, value_hex LIMIT 50")
+def merge_step(spark, sf_dir):
+    pairs = train.best_pairs(_samples(spark, sf_dir), byte_tokenizer(), 50, ["space-lowercase-word"], 24, 0.9)
+    return pairs.select("a", "b", "freq", F.hex("value").alias("value_hex"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_TOKEN_FREQ} SELECT id, freq FROM token_freq")
 def token_frequencies(spark, sf_dir):
     return token_frequency(_samples(spark, sf_dir), word_tokenizer())
 
@@ -266,9 +368,22 @@ def expected_mass(spark, sf_dir):
     return found.join(corpus.vocab_frame(spark, tok.vocab), "id").agg(F.round(F.sum(F.col("expected") * F.octet_length("value")), 2).alias("bytes"))
 
 
-@query()
+_AHEAD = " + ".join(f"coalesce(a[i + 2 - {n}] * exp(t{n}.score), 0)" for n in range(1, 6))
+_EDGES = " UNION ALL ".join(f"SELECT piece, n, t.id, a[k] * exp(t.score) * b[k + {n}] / a[-1] AS x FROM starts JOIN tok t ON t.token = substring(piece, k, {n}) AND k + {n} <= len(a)" for n in range(1, 6))
+
+
+@query(
+    f"""WITH RECURSIVE each AS (SELECT unnest({_CUT}) AS piece FROM documents), kinds AS (SELECT piece, count(*) AS n FROM each GROUP BY piece), {_TOK},
+two AS (SELECT piece, piece AS own, 1 AS way, n FROM kinds WHERE regexp_full_match(piece, ' ?[a-z]+') UNION ALL SELECT piece, piece, 2, n FROM kinds WHERE regexp_full_match(piece, ' ?[a-z]+')),
+f(piece, alone, i, a) AS (SELECT piece, false, 0, [1.0::DOUBLE] FROM two WHERE way = 1 UNION ALL SELECT piece, alone, i + 1, list_append(a, {_AHEAD}) FROM f {_JOINS} WHERE i < length(piece)),
+g(piece, i, b) AS (SELECT piece, length(piece), [1.0::DOUBLE] FROM two WHERE way = 2
+UNION ALL SELECT piece, i - 1, list_prepend({" + ".join(f"coalesce(b[{n}] * exp(t{n}.score), 0)" for n in range(1, 6))}, b) FROM g {" ".join(f"LEFT JOIN tok t{n} ON t{n}.token = CASE WHEN i - 1 + {n} <= length(piece) THEN substring(piece, i, {n}) END" for n in range(1, 6))} WHERE i > 0),
+both_ways AS (SELECT piece, n, a, b FROM f JOIN g USING (piece) JOIN kinds USING (piece) WHERE f.i = length(piece) AND g.i = 0),
+starts AS (SELECT *, unnest(range(1, len(a))) AS k FROM both_ways), used AS ({_EDGES} UNION ALL SELECT piece, n, unnest({_HEX}), 1.0 FROM kinds WHERE NOT regexp_full_match(piece, ' ?[a-z]+'))
+SELECT id, round(sum(n * x), 4) AS expected FROM used GROUP BY id"""
+)
 def expected_counts(spark, sf_dir):
-    return prune.expected_counts(_samples(spark, sf_dir), word_tokenizer())
+    return prune.expected_counts(_samples(spark, sf_dir), word_tokenizer()).select("id", F.round("expected", 4).alias("expected"))
 
 
 _DIGAMMA = "(ln(x + k - 0.5) + 1 / (24 * (x + k - 0.5) ** 2) - 7 / (960 * (x + k - 0.5) ** 4) + 31 / (8064 * (x + k - 0.5) ** 6) - 127 / (30720 * (x + k - 0.5) ** 8) - coalesce(list_sum([1 / (x + i) for i in range(k)]), 0))"
@@ -288,11 +403,33 @@ def m_step(spark, sf_dir):
     return _shown(prune.reestimated(vocab, vocab.join(thirds, "value").select("id", "expected")))
 
 
-@query()
-def prune_losses(spark, sf_dir):
+_SELVES = _viterbi("selves").replace("ahead", "ahead2").replace("behind", "behind2").replace("paths AS", "paths2 AS").replace(_TOK + ", ", "")
+_LOSSES = f"""{_TOKEN_FREQ}, selves AS (SELECT token AS piece, true AS alone FROM tok WHERE length(token) > 1), {_SELVES},
+vocab AS (SELECT i AS id, printf('%02X', i) AS value_hex, -9.0 - i / 512.0 AS score, true AS keep FROM range(256) r(i) UNION ALL SELECT id, hex(encode(token)), score, false FROM tok WHERE id >= 256),
+alts AS (SELECT v.id, v.value_hex, v.score, keep, coalesce(freq, 0) AS f, NOT (p.score IS NOT NULL AND p.score > v.score) AS always_keep, CASE WHEN p.score <= v.score THEN ids ELSE [] END AS alt_ids
+FROM vocab v LEFT JOIN token_freq USING (id) LEFT JOIN paths2 p ON NOT keep AND hex(encode(piece)) = value_hex),
+ruled AS (SELECT *, CASE WHEN keep THEN 'stay' WHEN f = 0 AND NOT always_keep THEN 'drop' WHEN len(alt_ids) = 0 THEN 'stay' WHEN f > 0 THEN 'candidate' ELSE 'drop' END AS rule, (SELECT sum(freq) FROM token_freq) AS s FROM alts),
+alt AS (SELECT r.id, sum(ln((coalesce(freq, 0) + f)::DOUBLE) - ln((s + f * ((SELECT count(*) FROM vocab) - 1))::DOUBLE)) AS alt FROM (SELECT id, f, s, unnest(alt_ids) AS alt_id FROM ruled WHERE rule = 'candidate') r LEFT JOIN token_freq t ON t.id = alt_id GROUP BY r.id),
+losses AS (SELECT r.id, value_hex, score, keep, rule, CASE WHEN rule = 'candidate' THEN f / (SELECT count(*) FROM documents) * (ln(f::DOUBLE) - ln(s::DOUBLE) - alt) END AS loss FROM ruled r LEFT JOIN alt USING (id))"""
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, tok = _samples(spark, sf_dir), word_tokenizer()
     vocab = corpus.vocab_frame(spark, tok.vocab)
-    return prune.losses(vocab, prune.alternatives(vocab, tok), token_frequency(samples, tok), samples.count()).select("id", "rule", F.round("loss", 9).alias("loss"))
+    return prune.losses(vocab, prune.alternatives(vocab, tok), token_frequency(samples, tok), samples.count())
+
+
+@query(f"WITH {_LOSSES} SELECT id::INTEGER AS id, rule, round(loss, 6) AS loss FROM losses")
+def prune_losses(spark, sf_dir):
+    return _losses(spark, sf_dir).select("id", "rule", F.round("loss", 6).alias("loss"))
+
+
+@query(
+    f"""WITH {_LOSSES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY loss DESC, value_hex) AS k, 320 - count(*) FILTER (rule = 'stay') OVER () AS free FROM losses)
+SELECT (row_number() OVER (ORDER BY score DESC, value_hex) - 1)::INTEGER AS id, value_hex, round(score, 6) AS score, keep FROM ranked WHERE rule = 'stay' OR (rule = 'candidate' AND k <= free)"""
+)
+def prune_step(spark, sf_dir):
+    return _shown(prune.pruned(_losses(spark, sf_dir), 320))
 
 
 def _tokens(spark: SparkSession, tok: Tokenizer) -> DataFrame:
@@ -317,7 +454,7 @@ def compression_bytes(spark, sf_dir):
     return evaluate.compression(_samples(spark, sf_dir).withColumn("ids", encode(spark, byte_tokenizer(), F.col("text"))))
 
 
-@query()
+@query(f"WITH {_ENCODED}, sizes AS (SELECT source, sum(len(ids))::BIGINT AS num_tokens, sum(length(piece))::BIGINT AS num_chars FROM each JOIN encoded USING (piece) GROUP BY source) SELECT *, round(num_chars / num_tokens, 2) AS chars_per_token FROM sizes")
 def compression(spark, sf_dir):
     return evaluate.compression(_samples(spark, sf_dir).withColumn("ids", encode(spark, word_tokenizer(), F.col("text"))))
 
@@ -325,10 +462,11 @@ def compression(spark, sf_dir):
 @query(
     """WITH s AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS num_tokens, sum(length(text))::BIGINT AS num_chars FROM documents GROUP BY source)
 SELECT 'source' AS kind, source AS name, num_tokens, num_chars, round(num_chars / num_tokens, 2) AS chars_per_token FROM s
-UNION ALL SELECT 'average', 'all', sum(num_tokens)::BIGINT, sum(num_chars)::BIGINT, round(sum(num_chars) / sum(num_tokens), 2) FROM s"""
+UNION ALL SELECT 'average', 'all', sum(num_tokens)::BIGINT, sum(num_chars)::BIGINT, round(sum(num_chars) / sum(num_tokens), 2) FROM s
+UNION ALL SELECT 'average', 'first two', sum(num_tokens)::BIGINT, sum(num_chars)::BIGINT, round(sum(num_chars) / sum(num_tokens), 2) FROM s WHERE source IN ('src0', 'src1')"""
 )
 def compression_report(spark, sf_dir):
-    return evaluate.compression_report(compression_bytes(spark, sf_dir), {"none": ["no such source"]})
+    return evaluate.compression_report(compression_bytes(spark, sf_dir), {"first two": ["src0", "src1"], "none": ["no such source"]})
 
 
 @query(
@@ -340,6 +478,15 @@ def frequency_buckets(spark, sf_dir):
     return evaluate.frequency_buckets(generate_frequencies(spark, sf_dir).withColumnRenamed("token", "id"), SIZE)
 
 
+@query(
+    f"""WITH {_FREQ}, ranked AS (SELECT freq, row_number() OVER (ORDER BY freq DESC, encode(token)) - 1 AS rn FROM freq),
+b AS (SELECT (rn // ({SIZE} // 50))::INTEGER AS bucket, sum(freq)::BIGINT AS frequency FROM ranked GROUP BY 1), c AS (SELECT i::INTEGER AS bucket, coalesce(frequency, 0)::BIGINT AS frequency FROM range(50) r(i) LEFT JOIN b ON bucket = i)
+SELECT bucket, frequency, round(100.0::DOUBLE * frequency / sum(frequency) OVER (), 2) AS percent FROM c"""
+)
+def frequency_shares(spark, sf_dir):
+    return evaluate.bucket_shares(frequency_buckets(spark, sf_dir))
+
+
 @query(
     """WITH c AS (SELECT source, (length(text) - length(replace(text, 'the', ''))) // 3 AS k FROM documents)
 SELECT source, grouping(source)::TINYINT AS is_total, sum(k)::BIGINT AS occurrences, count(*) FILTER (k > 0) AS samples_hit, round(100.0 * count(*) FILTER (k > 0) / count(*), 2) AS percent
@@ -351,23 +498,28 @@ def find(spark, sf_dir):
 
 # curation
 
-_MEASURED = """m AS (SELECT doc_id, source, lang, text, octet_length(encode(text)) AS n_bytes, length(text) AS n, len(string_split(text, chr(10))) AS lines, list_max([length(l) for l in string_split(text, chr(10))]) AS longest,
+_MEASURED = "docs AS (SELECT doc_id, source, lang, text FROM documents UNION ALL VALUES " + ", ".join(f"({i}, 'junk', '{lang}', {_quoted(t)})" for i, lang, t in JUNK) + """), m AS (SELECT doc_id, source, lang, text, octet_length(encode(text)) AS n_bytes, length(text) AS n, len(string_split(text, chr(10))) AS lines, list_max([length(l) for l in string_split(text, chr(10))]) AS longest,
 [length(x) for x in regexp_extract_all(text, '[A-Za-z0-9+/=\\n]{64,}')] AS e1, [length(x) for x in regexp_extract_all(text, '(?:\\b(?:0x|\\\\x)?[A-Fa-f0-9]{2}(?:,|\\b\\s*)){8,}')] AS e2, [length(x) for x in regexp_extract_all(text, '(?:\\\\u[A-Fa-f0-9]{4}){8,}')] AS e3,
-1 - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) / length(text) AS alnum, 1 - length(regexp_replace(text, '[0-9]', '', 'g')) / length(text) AS digits, 1 - length(regexp_replace(text, '[^\\x00-\\x7f\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}]', '', 'g')) / length(text) AS other FROM documents),
+1 - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g')) / length(text) AS alnum, 1 - length(regexp_replace(text, '[\\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]', '', 'g')) / length(text) AS digits, 1 - length(regexp_replace(text, '[^\\x00-\\x7f\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}]', '', 'g')) / length(text) AS other FROM docs),
 j AS (SELECT *, CASE WHEN n_bytes < 16 OR n_bytes > 262144 THEN 'size' WHEN lang IN ('json', 'yaml', 'toml', 'sql', 'r', 'hcl') AND lines - 1 > 256 THEN 'lines'
 WHEN (n - lines + 1) / lines > 100 OR (n - lines + 1) / lines < 10 OR longest > 1000 THEN 'line length' WHEN alnum < 0.25 THEN 'alphanumeric' WHEN digits > 0.3 THEN 'digits'
 WHEN coalesce(list_max(e1), 0) > 256 OR coalesce(list_max(e2), 0) > 256 OR coalesce(list_max(e3), 0) > 256 OR coalesce(list_sum(e1), 0) / n > 0.5 OR coalesce(list_sum(e2), 0) / n > 0.5 OR coalesce(list_sum(e3), 0) / n > 0.5 THEN 'encoded'
 WHEN other > 0.2 THEN 'script' END AS reason FROM m)"""
 
 
+def _with_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    junk = spark.createDataFrame([(i, "junk", lang, t) for i, lang, t in JUNK], "doc_id long, source string, lang string, text string")
+    return _documents(spark, sf_dir).select("doc_id", "source", "lang", "text").unionByName(junk)
+
+
 @query(f"WITH {_MEASURED} SELECT doc_id, reason FROM j")
 def quality_reasons(spark, sf_dir):
-    return curate.judged(_documents(spark, sf_dir)).select("doc_id", "reason")
+    return curate.judged(_with_junk(spark, sf_dir)).select("doc_id", "reason")
 
 
 @query(f"WITH {_MEASURED} SELECT doc_id, source, text FROM j WHERE reason IS NULL")
 def quality_filtered(spark, sf_dir):
-    return curate.quality_filtered(_documents(spark, sf_dir)).select("doc_id", "source", "text")
+    return curate.quality_filtered(_with_junk(spark, sf_dir)).select("doc_id", "source", "text")
 
 
 @query(
@@ -381,3 +533,60 @@ def quota_split(spark, sf_dir):
 @query()
 def infilling(spark, sf_dir):
     return curate.infilling(_samples(spark, sf_dir))
+
+
+# files
+
+
+@query("SELECT 'all' AS source, text FROM documents UNION ALL SELECT 'half', text FROM (SELECT text FROM documents WHERE text <> '' QUALIFY row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () * 0.5))")
+def load_sources(spark, sf_dir):
+    """The texts written as NUL-separated files with carriage returns, and loaded twice through source specs and a processor."""
+    at = corpus.scratch_dir(spark)
+    rows = _documents(spark, sf_dir).orderBy("doc_id").select(F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("text"))
+    corpus.write_samples(rows, at)
+    at = at.removeprefix("file://").removeprefix("file:")
+    return corpus.load(spark, [f"all:{at}", f"half:{at}:0.5"], ["crlf"]).select("source", "text")
+
+
+@query("SELECT source, text FROM documents")
+def shuffled_samples(spark, sf_dir):
+    return corpus.shuffled(_samples(spark, sf_dir)).select("source", "text")
+
+
+def _file(name: str, text: str) -> str:
+    path = os.path.join(tempfile.mkdtemp(prefix="lexloom-"), name)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
+@query(f"SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, ' th[a-z]+| [0-9]+')) AS token FROM documents) GROUP BY token ORDER BY freq DESC, encode(token) LIMIT {TOP}")
+def mine_pattern_file(spark, sf_dir):
+    """A custom pattern, read from a file with line ends in it."""
+    return mine.mine(_samples(spark, sf_dir), [corpus.pattern(_file("idiom.regex", "\n(?: th[a-z]+)|\r\n(?: [0-9]+)\n"))], TOP)
+
+
+@query(f"SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, ' ?[A-Za-z]+')) AS token FROM documents) GROUP BY token ORDER BY freq DESC, encode(token) LIMIT {TOP}")
+def idioms_file(spark, sf_dir):
+    """The idioms written as a JSON list and read again, with their frequencies."""
+    found = mine.mine(_samples(spark, sf_dir), ["space-word"], TOP)
+    path = _file("idioms.json", "")
+    corpus.write_tokens([r["token"] for r in found.collect()], path)  # at most TOP
+    back = spark.createDataFrame([(t,) for t in corpus.read_tokens([path])], "token string")
+    return back.join(found, "token")
+
+
+@query(f"WITH {_VOCAB} SELECT id, value_hex, round(score, 6) AS score, keep FROM vocab")
+def tokenizer_saved(spark, sf_dir):
+    """The generated vocabulary saved as a tokenizer and loaded again."""
+    path = _file("tokenizer.json", "")
+    Tokenizer(corpus.vocab_list(_vocab(spark, sf_dir)), ["crlf", "nfc"], SPECIALS).save(path)
+    return _tokens(spark, Tokenizer.from_file(path))
+
+
+@query(f"WITH {_VOCAB} SELECT id, CASE WHEN value_hex >= '80' AND length(value_hex) = 2 THEN rtrim(base64(unhex(value_hex)), '=') ELSE decode(unhex(value_hex)) END AS value, value_hex >= '80' AND length(value_hex) = 2 AS encoded, keep FROM vocab")
+def token_json(spark, sf_dir):
+    """The fields of every token in the tokenizer's compact JSON form."""
+    text = Tokenizer(corpus.vocab_list(_vocab(spark, sf_dir))).to_string()
+    rows = [(i, t["value"], t.get("encoded", False), t.get("keep", False)) for i, t in enumerate(json.loads(text)["vocab"])]
+    return spark.createDataFrame(rows, "id int, value string, encoded boolean, keep boolean")

@@ -33,7 +33,7 @@ def measures(text: Column) -> dict[str, Column]:
         "mean_line": (n - (F.size(lines) - 1)) / F.size(lines),
         "longest_line": longest,
         "alnum_share": share("[A-Za-z0-9]"),
-        "digit_share": share("[0-9]"),
+        "digit_share": share(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"),  # what is a digit in any script
         "foreign_share": share("[^\\x00-\\x7f一-鿿㐀-䶿豈-﫿]"),
     }
     for name, p in ENCODED.items():
