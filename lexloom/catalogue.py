@@ -21,6 +21,7 @@ from lexloom.functions import columns, patterns
 from lexloom.functions.tokenizer import Token, Tokenizer
 from lexloom.operators import curate, evaluate, generate, mine, prune, vocabulary
 from lexloom.operators.encode import Shared, chunk_counts, decode, encode, pair_counts, sample_pair_counts, split_specials, token_frequency
+from lexloom.partitions import spread
 from lexloom.plans import train
 from lexloom.sources import corpus
 from lexloom.streaming.encode import encode_available
@@ -53,7 +54,7 @@ def _quoted(text: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
