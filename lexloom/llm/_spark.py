@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm._text import slices
+from lexloom.partitions import spread
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,7 +89,7 @@ def over_texts(df: DataFrame, text: str, schema: str, fn: Callable[[pa.RecordBat
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([_array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def _slices(sizes: np.ndarray, limit: int = 1_500_000):
@@ -120,4 +121,4 @@ def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
-__all__ = ["by_key", "fresh", "local_path", "over_texts", "parts", "scratch_path", "shared_dir", "slices", "whole_partition", "written"]
+__all__ = ["by_key", "fresh", "local_path", "over_texts", "parts", "scratch_path", "shared_dir", "slices", "spread", "whole_partition", "written"]

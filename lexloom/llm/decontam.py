@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm._cut import cut_words, with_texts
-from lexloom.llm._spark import _slices, fresh, over_texts
+from lexloom.llm._spark import _slices, fresh, over_texts, spread
 from lexloom.llm._text import U64, Words, union_spans, window_hash, words
 
 GRAM, SHORTEST, MAX_SHARE, BROADCAST_WORDS = 8, 4, 0.5, 2_000_000
@@ -211,7 +211,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, gram: int = GRAM, shortest
                     spans.setdefault(d, []).extend((x, x + n) for x, n in wins)
                 yield _rewrite(part, pa.schema(list(part.schema)[:names]), texts, spans, w, max_share)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields[:names]))
+    return spread(docs).mapInArrow(run, T.StructType(docs.schema.fields[:names]))
 
 
 def _rewrite(rows: pa.RecordBatch, schema: pa.Schema, texts: list, spans: dict[int, list], w: Words, max_share: float) -> pa.RecordBatch:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._spark import over_texts, written
+from lexloom.llm._spark import over_texts, spread, written
 from lexloom.llm.url_filter import split
 
 SUPPORT, LEAST_CLASS, MOST_HELD, BROADCAST_BYTES = 0.5, 3, 200_000, 32_000_000
@@ -202,7 +202,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
                     yield flush()
         yield flush()
 
-    asked = written(pages.mapInArrow(name, "host string, token string").distinct().groupBy("host").agg(F.collect_list("token").alias("t")), "candidates")
+    asked = written(spread(pages).mapInArrow(name, "host string, token string").distinct().groupBy("host").agg(F.collect_list("token").alias("t")), "candidates")
 
     def count(rows: list[tuple], of: Callable[[str], object]) -> dict:
         out: dict[tuple[str, str], list[int]] = {}

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import _eliasfano as ef
 from lexloom.llm._eliasfano import EliasFano
-from lexloom.llm._spark import _slices, local_path, over_texts, parts, scratch_path, written
+from lexloom.llm._spark import _slices, local_path, over_texts, parts, scratch_path, spread, written
 from lexloom.llm._text import U64, mix64, words
 
 MU, STEP, SHARD_WORDS, MOST_SHARDS, VOCAB_WORDS, BLOCK_WORDS = 32.0, 8, 1_000_000, 20_000, 2_000_000, 1_000_000
@@ -349,7 +349,7 @@ def scores(docs: DataFrame, shard_words: int = SHARD_WORDS, model_path: str | No
         known = np.asarray(ids.is_valid())
         return pa.table({"doc_id": ids, "n_scored": pa.array(n), "code_sum": pa.array(bits)}).filter(pa.array(known))
 
-    sent = docs.mapInArrow(send, "shard long, origin long, blob binary").repartition(parts(spark, routes.total, 0.5), "shard")
+    sent = spread(docs).mapInArrow(send, "shard long, origin long, blob binary").repartition(parts(spark, routes.total, 0.5), "shard")
     scored = sent.groupBy("shard").applyInArrow(score, "origin long, blob binary, docs boolean")
     sums = scored.groupBy("origin").applyInArrow(total, "doc_id long, n_scored long, code_sum long")
     bits = F.col("code_sum") / STEP

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm._spark import _slices, over_texts
+from lexloom.llm._spark import _slices, over_texts, spread
 from lexloom.llm._suffix import lcp_array, suffix_array
 from lexloom.llm._text import U64, mix64, segment_sums, words
 
@@ -77,4 +77,4 @@ def kept(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX
                 part = rows.slice(a, b - a)
                 yield part.filter(pa.array(judge(part.column(at).to_pylist(), min_repeat, max_covered, max_longest)["keep"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
