@@ -1,5 +1,6 @@
 """Token counts, language model, URL filter, packing, HTML, language identification."""
 
+import json
 import math
 import random
 import re
@@ -311,9 +312,97 @@ def test_in_order_matches_brute_force():
         assert sum(weights[r] for r in kept) == max(sum(weights[r] for r in x) for x in subsets if x == sorted(x))
 
 
+def brute_template(pages):
+    """The largest class of tokens that are once on the same pages, on half of them at least; and classes that lie in one of its slots."""
+    each = [html_template.tokens(p) for p in pages]
+    vectors = {}
+    for t in {t for toks in each for t in toks}:
+        v = tuple(toks.count(t) for toks in each)
+        if sum(map(bool, v)) * 2 >= len(pages):
+            vectors.setdefault(v, []).append(t)
+    single = [(sum(v), len(c), c) for v, c in vectors.items() if max(v) == 1 and len(c) >= 3]
+    best = max(single, key=lambda x: x[:2])[2]
+    page = next(toks for toks in each if best[0] in toks)
+    skeleton = sorted(best, key=page.index)
+    nested = {}
+    for c in vectors.values():
+        if c is best or len(c) < 2:
+            continue
+        slots, order = set(), set()
+        for toks in each:
+            mine = [t for t in toks if t in c]
+            order.add(tuple(mine[: len(c)]))
+            ok = len(mine) % len(c) == 0 and mine == mine[: len(c)] * (len(mine) // len(c))
+            slots |= {sum(toks.index(s) < i for s in skeleton) for i, t in enumerate(toks) if t in c} | (set() if ok else {-1})
+        if len(slots) == 1 and -1 not in slots:
+            nested[next(o for o in order if o)] = slots.pop()
+    return skeleton, nested
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    made = [page(word(), [(word(), word()) for _ in range(rng.randrange(1, 5))], f"<p id=a><q>{word()}</q></p>" if seed else "") for _ in range(9)]
+    rows = [(i, "http://h.org/", html) for i, html in enumerate(made)] * 2  # repeated rows count once
+    got = html_template.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    t = json.loads(got[0]["template"])
+    skeleton, nested = brute_template(made)
+    assert len(got) == 1 and t["skeleton"] == skeleton
+    assert {tuple(c): slot for c, slot in zip(t["nested"], t["slots"])} == nested
+
+
+def test_extraction_of_ties_long_pages_and_shared_ids(spark):
+    rows = [(i % 2, f"http://h.org/{i}", page(f"T{i}", [("a", f"b{i}")] * (3000 if i == 0 else 1))) for i in range(6)]
+    got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["slot"] >= 0 for r in got)
+    assert sorted(r["text"] for r in got if r["text"].startswith("T")) == [f"T{i}" for i in range(6)]
+    assert sum(r["text"] == "b0" for r in got) == 3000
+
+
 # language identification
 
 
+def brute_probabilities(net, raw):
+    """Both networks read byte by byte; the softmax of the layer on their states."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, states = net.h, {}
+    for d, bytes_ in (("f", raw), ("b", raw[::-1])):
+        s, out = np.zeros(h), []
+        for b in bytes_:
+            a, g = net.p["e" + d][:, b].astype(float), net.p["u" + d].astype(float) @ s
+            z, r = sigmoid(a[:h] + g[:h]), sigmoid(a[h : 2 * h] + g[h : 2 * h])
+            n = np.tanh(a[2 * h :] + r * (g[2 * h :] + net.p["c" + d][:, 0]))
+            s = (1 - z) * n + z * s
+            out.append(s)
+        states[d] = out if d == "f" else out[::-1]
+    z = [net.p["w"] @ np.concatenate(p) + net.p["b"][:, 0] for p in zip(states["f"], states["b"])]
+    return np.array([np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in z])
+
+
+def test_forward_and_pooling_match_brute_force(monkeypatch):
+    monkeypatch.setattr(language_id, "SCORED", 20)
+    net = language_id.Network(3, 5, seed=4)
+    texts = ["a short text", "é" * 33, "", None, "x", "one two three four five six seven eight nine ten"]
+    mean, share, n = language_id.pooled(net, texts, block=2)
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert n[k] == len(raw)
+        if raw:
+            p = np.concatenate([brute_probabilities(net, raw[a : a + 20]) for a in range(0, len(raw), 20)])
+            assert np.allclose(mean[k], p.mean(0), atol=1e-5)
+            assert share[k] == pytest.approx((p.argmax(1) == p.mean(0).argmax()).mean())
+
+
+def test_the_sample_is_equal_by_language_and_whole(spark):
+    rows = [(i, f"text {i} " * 50, "en") for i in range(200)] + [(1000 + i, f"mot {i}", "fr") for i in range(5)] + [(7, "text 7 " * 50, "en")] * 30 + [(None, "sans id", "fr")]
+    got = language_id.sample(docs(spark, rows), 20)
+    by = Counter(lang for _, lang in got)
+    assert by == {"en": 10, "fr": 6} and len(set(got)) == 16 and all(len(t) > 300 for t, lang in got if lang == "en")
+    names, net = language_id.trained([("only one", "en")])
+    assert names == ["en"] and language_id.pooled(net, ["abc"])[0].tolist() == [[1.0]]
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
     net = language_id.Network(3, 4)
