@@ -13,8 +13,10 @@ row for each filled slot and, in a nested class, for each of its turns.
 
 Occurrence vectors are compared by count and by two sums of keyed hashes of
 (page, occurrences), so pages of any number are summed in parallel, hot hosts
-included.  Only tokens on half of the pages of a host in some chunk can be on
-half of them all, so a first pass names candidates and the second counts them.
+included.  A first pass names candidates: in each run of pages it counts those
+tokens of a host that are on half of its pages there, and bounds the others; what
+these sums and bounds leave below half of all the host's pages is out.  The second
+pass counts what is left, however the pages of a host are spread.
 
 Defined cases: a page with null or empty html gives no row; a null page_id is an
 id like any other; pages with one page_id are pages of their own if their html differs, and count
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import html as _html
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -184,14 +187,18 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
     """(host, template): each host's valid template as JSON."""
     pages = pages.select("page_id", "url", "html").where("html is not null and html <> ''")
 
+    once = pages.dropDuplicates() if _has_repeats(pages) else pages
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         size: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(h, t) for h, c in seen.items() for t, n in c.items() if n >= support * size[h]]
+            # a token that isn't named here is on at most ``rest`` of the host's pages here
+            rest = {h: math.ceil(support * n) - 1 for h, n in size.items()}
+            rows = [(h, t, n, rest[h]) for h, c in seen.items() for t, n in [("\0", size[h]), *c.items()] if n > rest[h]]
             seen.clear(), size.clear()
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "token"])
+            return pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "token", "n", "rest"])
 
         for rows in batches:
             for url, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
@@ -202,7 +209,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
                     yield flush()
         yield flush()
 
-    asked = written(spread(pages).mapInArrow(name, "host string, token string").distinct().groupBy("host").agg(F.collect_list("token").alias("t")), "candidates")
+    named = spread(once).mapInArrow(name, "host string, token string, n long, rest long").groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+    named = written(named, "named")
+    whole = named.where(F.col("token") == "\0").select("host", F.col("n").alias("pages"), F.col("rest").alias("most"))
+    able = named.where(F.col("token") != "\0").join(whole, "host").where(F.col("n") + F.col("most") - F.col("rest") >= support * F.col("pages"))
+    asked = written(able.groupBy("host").agg(F.collect_list("token").alias("t")), "candidates")
 
     def count(rows: list[tuple], of: Callable[[str], object]) -> dict:
         out: dict[tuple[str, str], list[int]] = {}
@@ -222,9 +233,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_CLA
                     x[k] += v
         return {"host": [h for h, _ in out], "token": [t for _, t in out], **{c: [x[k] for x in out.values()] for k, c in enumerate(("pages", "n", "a", "b", "place"))}}
 
-    once = pages.dropDuplicates() if _has_repeats(pages) else pages
     counts = _with(once, asked, lambda v: frozenset(v), count, "host string, token string, pages long, n long, a long, b long, place long")
     counts = counts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "a", "b", "place")))
+    # what reaches a host's task are tokens on ``support`` of its pages, of which a page has only so many
+    of = whole.select(F.col("host").alias("of_host"), F.col("pages").alias("of_pages"))
+    counts = counts.join(of, counts["host"] == of["of_host"]).where((F.col("token") == "\0") | (F.col("pages") >= support * F.col("of_pages"))).select(*counts.columns)
 
     def deduce(t: pa.Table) -> pa.Table:
         rows = list(zip(*(t.column(c).to_pylist() for c in ("token", "pages", "n", "a", "b", "place"))))

@@ -352,6 +352,16 @@ def test_templates_match_brute_force(spark, seed):
     assert {tuple(c): slot for c, slot in zip(t["nested"], t["slots"])} == nested
 
 
+@pytest.mark.parametrize("limit", [html_template.BROADCAST_BYTES, 0])
+def test_templates_by_join_and_in_small_runs(spark, monkeypatch, limit):
+    rows = [(i, f"http://h{i % 3}.org/", page(f"T{i}", [("a", f"b{i}")] * (1 + i % 4))) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_template.extracted(pages).collect()))
+    monkeypatch.setattr(html_template, "BROADCAST_BYTES", limit)
+    got = sorted(map(tuple, html_template.extracted(pages.repartition(30, "page_id")).collect()))
+    assert got == want and all(r[2] >= 0 for r in got)
+
+
 def test_extraction_of_ties_long_pages_and_shared_ids(spark):
     rows = [(i % 2, f"http://h.org/{i}", page(f"T{i}", [("a", f"b{i}")] * (3000 if i == 0 else 1))) for i in range(6)]
     got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
