@@ -238,3 +238,47 @@ def test_stream(spark, tmp_path):
     samples(spark, TEXTS[2:]).write.mode("append").parquet(a)
     rows = encode_available(spark, a, schema, TOK, out, at).collect()
     assert sorted(map(str, ((r["text"], r["ids"]) for r in rows))) == sorted(map(str, ((t, TOK.encode(t)) for t in TEXTS)))
+
+
+def test_many_texts_encode_as_each_by_itself():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(["the", "ing", " ", "é", "x", "\n"], k=rng.randrange(12))).encode() for _ in range(60)] + [b"", b"\xff\xfe"]
+    ids, size = TOK.lattice.encode_all(texts)
+    each = [TOK.lattice.encode(t) for t in texts]
+    assert ids.tolist() == [i for e in each for i in e] and size.tolist() == [len(e) for e in each]
+    key, n = TOK.lattice.pairs(texts)
+    assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(m) for k, m in zip(key, n)} == Counter(p for e in each for p in zip(e, e[1:]))
+
+
+def test_bad_bytes_are_replaced_in_decoding(spark):
+    rows = spark.createDataFrame([([0xFF, 0x41],), ([0xC3, 256 + len(TOK.vocab) - 256, 0xA9],), ([0xC3, 0xA9],), (None,)], "ids array<int>")
+    for specials in (True, False):
+        got = [r[0] for r in rows.select(decode(spark, TOK, F.col("ids"), specials)).collect()]
+        assert got == [TOK.decode([0xFF, 0x41], specials), TOK.decode([0xC3, len(TOK.vocab), 0xA9], specials), "é", None]
+
+
+def test_draws_follow_the_sample_and_not_the_way(spark, monkeypatch):
+    texts = [f"{k % 7} ab abc ab zz{k % 3}" for k in range(400)]
+    draw = lambda df: {r[0]: r[1] for r in generate.document_frequency(df, max_bytes=4, p=0.3, added=["zz1"]).collect()}
+    short = draw(samples(spark, texts))
+    assert draw(samples(spark, texts).repartition(7)) == short  # partitions don't matter
+    assert 0 < short["ab"] < 400 and len({short["0"], short["1"], short["2"]}) > 1  # copies of a text draw for themselves
+    monkeypatch.setattr(generate, "LONG", 3)
+    assert draw(samples(spark, texts)) == short
+
+
+def test_limits_with_ties_and_empty_sources(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "STRIDE", 4)
+    df = spark.createDataFrame([("a", i // 2, f"t{i}") for i in range(21)] + [("b", 5, "x"), (None, 1, "n"), (None, 2, "m")], "source string, sample_id long, text string")
+    for share, n in ((0.5, 10), (0.0, 0), (0.99, 20)):
+        got = corpus.prefix_sample(df, share).collect()
+        mine = sorted((r["sample_id"], r["text"]) for r in got if r["source"] == "a")
+        assert len(mine) == n and all(i <= n // 2 for i, _ in mine)
+    assert corpus.prefix_sample(df, 1.0).count() == 24 and corpus.prefix_sample(df.limit(0), 0.5).count() == 0
+
+
+def test_samples_count_in_the_order_of_files(spark, tmp_path):
+    for k, size in ((2, 900), (1, 3), (0, 40)):
+        (tmp_path / f"f{k}.bin").write_bytes(b"\0".join(f"{k}-{i}".encode() for i in range(size)))
+    got = corpus.prefix_sample(corpus.read_samples(spark, str(tmp_path), "s"), 45 / 943).collect()
+    assert sorted(r["text"] for r in got) == sorted([*(f"0-{i}" for i in range(40)), *(f"1-{i}" for i in range(3)), "2-0", "2-1"])
