@@ -76,12 +76,12 @@ def before_limits(samples: DataFrame, order: str, weight: Column, limits: dict[s
     out, own = samples.withColumn("__h", F.xxhash64("text")), samples.columns
     for name, limit in limits.items():
         each = sums.withColumn("limit", limit(F.col("total")))
-        crossing = each.where("start < limit and start + s >= limit").select("source", "b", "start", "limit")
-        ranked = keys.join(F.broadcast(crossing), ["source", "b"])
+        crossing = each.where("start < limit and start + s >= limit").select(F.col("source").alias("of"), F.col("b").alias("at"), "start", "limit")
+        ranked = keys.join(F.broadcast(crossing), F.col("source").eqNullSafe(F.col("of")) & (F.col("b") == F.col("at")))
         before = F.col("start") + F.coalesce(F.sum("w").over(by.orderBy("o", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        last = ranked.withColumn("before", before).where("before < limit").groupBy("source").agg(F.max(F.struct("o", "h")).alias("last"))
+        last = ranked.withColumn("before", before).where("before < limit").groupBy("of").agg(F.max(F.struct("o", "h")).alias("last"))
         whole = each.groupBy("source").agg(F.max(F.col("limit") > F.col("total")).alias("whole"))
-        cut = whole.join(last, "source", "left").select(F.col("source").alias("__source"), "whole", "last")
+        cut = whole.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("__source"), "whole", "last")
         out = out.join(F.broadcast(cut), out["source"].eqNullSafe(cut["__source"]), "left")
         inside = F.coalesce(F.col("whole") | (F.struct(F.col(order), F.col("__h")) <= F.col("last")), F.lit(False))
         own = [*own, name]

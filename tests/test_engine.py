@@ -274,6 +274,7 @@ def test_limits_with_ties_and_empty_sources(spark, monkeypatch):
         got = corpus.prefix_sample(df, share).collect()
         mine = sorted((r["sample_id"], r["text"]) for r in got if r["source"] == "a")
         assert len(mine) == n and all(i <= n // 2 for i, _ in mine)
+        assert [r["text"] for r in got if r["source"] is None] == ["n"] * (share > 0.4)
     assert corpus.prefix_sample(df, 1.0).count() == 24 and corpus.prefix_sample(df.limit(0), 0.5).count() == 0
 
 
