@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.patterns import NAMED, java
 from lexloom.functions.tokenizer import PROCESSORS, Tokenizer
 from lexloom.operators import evaluate, mine, vocabulary
-from lexloom.operators.encode import decode, encode, token_frequency
+from lexloom.operators.encode import decode, encode, encoded_size, token_frequency
 from lexloom.plans import train
 from lexloom.sources import corpus
 
@@ -77,7 +77,7 @@ def _decode(a: argparse.Namespace, spark: SPARK) -> None:
 def _evaluate(a: argparse.Namespace, spark: SPARK) -> None:
     s, tok = spark(), Tokenizer.from_file(a.vocab)
     samples = corpus.load(s, a.train)
-    by = evaluate.compression(samples.withColumn("ids", encode(s, tok, F.col("text"))))
+    by = evaluate.compression(samples.withColumn("n_ids", encoded_size(s, tok, F.col("text"))))
     buckets = evaluate.frequency_buckets(token_frequency(samples, tok), tok.vocab_size()).orderBy("bucket")
     out = {"vocab_size": tok.vocab_size(), "compression": {r["source"]: {k: r[k] for k in ("num_tokens", "num_chars", "chars_per_token")} for r in by.collect()}, "frequency_buckets": [r["frequency"] for r in buckets.collect()]}
     with open(a.output, "w", encoding="utf-8") as f:

@@ -11,8 +11,9 @@ BUCKETS = 50
 
 
 def compression(encoded: DataFrame) -> DataFrame:
-    """num_tokens, num_chars, chars_per_token of every source, from source, text and ids."""
-    sums = encoded.groupBy("source").agg(F.sum(F.size("ids")).alias("num_tokens"), F.sum(F.char_length("text")).alias("num_chars"))
+    """num_tokens, num_chars, chars_per_token of every source, from source, text and ids, or n_ids, their number."""
+    n = F.col("n_ids") if "n_ids" in encoded.columns else F.size("ids")
+    sums = encoded.groupBy("source").agg(F.sum(n).alias("num_tokens"), F.sum(F.char_length("text")).alias("num_chars"))
     return sums.withColumn("chars_per_token", F.round(F.col("num_chars") / F.col("num_tokens"), 2))
 
 
