@@ -10,7 +10,11 @@ from lexloom.operators.encode import encode
 
 
 def encoded_stream(spark: SparkSession, path: str, schema: str, tokenizer: Tokenizer, files: str = "*", files_per_trigger: int = 100) -> DataFrame:
-    """The rows of a growing folder of Parquet files, with ids."""
+    """The rows of a growing folder of Parquet files, with ids; where ``files`` names a folder in it, of that one's files."""
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path, files)
+    disk = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    if disk.exists(whole) and disk.getFileStatus(whole).isDirectory():
+        path, files = f"{path}/{files}", "*"
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files).parquet(path)
     return rows.withColumn("ids", encode(spark, tokenizer, F.col("text")))
 
