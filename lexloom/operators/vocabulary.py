@@ -27,7 +27,7 @@ def filtered(vocab: DataFrame, size: int = 0, min_score: float = float("-inf"),
 def token_ids(tokens: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
     """``tokens`` with the id of each, null where there is none; of equal values the last id has the say."""
     last = vocab.groupBy("value").agg(F.max("id").alias("id"))
-    return tokens.join(last, tokens[token].cast("binary") == last["value"], "left").drop("value")
+    return tokens.join(F.broadcast(last), tokens[token].cast("binary") == last["value"], "left").drop("value")
 
 
 def id_tokens(ids: DataFrame, vocab: DataFrame, specials: DataFrame | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def id_tokens(ids: DataFrame, vocab: DataFrame, specials: DataFrame | None = Non
     if specials is not None:
         base = vocab.agg(F.count("*").alias("base"))
         named = named.unionAll(specials.crossJoin(F.broadcast(base)).select((F.col("base") + F.col("ordinal")).cast("int"), F.col("token").cast("binary"), F.lit(True)))
-    return ids.join(named, "id", "left")
+    return ids.join(F.broadcast(named), "id", "left")
 
 
 def sizes(vocab: DataFrame, specials: DataFrame) -> DataFrame:
@@ -52,4 +52,4 @@ def prefix_search(texts: DataFrame, vocab: DataFrame, text: str = "text", longes
     raw = texts.select(F.col(text).alias("text")).where("text <> ''").distinct().withColumn("raw", F.col("text").cast("binary"))
     ends = F.sequence(F.lit(1), F.least(F.octet_length("raw"), F.lit(max(longest, 1))))
     cut = raw.select("text", "raw", F.explode(ends).alias("n_bytes")).withColumn("value", F.substring("raw", F.lit(1), F.col("n_bytes")))
-    return cut.join(vocab.groupBy("value").agg(F.max("id").alias("id")), "value").select("text", "id", "n_bytes")
+    return cut.join(F.broadcast(vocab.groupBy("value").agg(F.max("id").alias("id"))), "value").select("text", "id", "n_bytes")
